@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import exact_dedup, language, mixing, pii, token_store
+from . import exact_dedup, language, mixing, near_dedup, pii, token_store
 
 QUERIES = {
+    "op10_near_dedup": near_dedup.op10_near_dedup,
     "op1_language": language.op1_language,
     "op2_pii": pii.op2_pii,
     "op4_token_store": token_store.op4_token_store,
