@@ -45,21 +45,26 @@ def chunks(rows: Iterable[tuple], text_at: int = 1, limit: int = CHUNK_CHARS) ->
         yield held
 
 
-def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all texts, and offsets: text i has words[off[i]:off[i + 1]].
+def split(raw: list[bytes], peel: bool = False) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """Words of UTF-8 texts: hashes, offsets, and the joined bytes with each word's first and end byte.
 
-    A word is a run of characters outside ``[\\x20\\x09-\\x0D]``; a null text has none.
+    A word is a run of characters outside ``[\\x20\\x09-\\x0D]``; text i has the words off[i] to off[i + 1].
+    ``peel``: a full stop or comma that ends a run, after a letter a to z, is a word of its own.
     """
-    raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
     begins = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(r) + 1 for r in raw], out=begins[1:])
-    b = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    text = b" ".join(raw) + b" "
+    b = np.frombuffer(text, np.uint8)
     word = ~_BLANK[b]
     edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
     start, end = edge[0::2], edge[1::2]
+    if peel and len(start):
+        last = b[end - 1]
+        cut = end[((last == 0x2E) | (last == 0x2C)) & (b[end - 2] - np.uint8(0x61) < 26) & (end - start > 1)] - 1
+        start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
     off = np.searchsorted(start, begins)
     if not len(start):
-        return np.empty(0, U), off
+        return np.empty(0, U), off, text, start, end
     sizes = end - start
     global _POWERS
     if (longest := int(sizes.max())) > len(_POWERS):
@@ -67,7 +72,12 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(word)
     firsts = np.cumsum(sizes) - sizes
     place = np.arange(len(at)) - np.repeat(firsts, sizes)
-    return mix(np.add.reduceat((b[at].astype(U) + U(1)) * _POWERS[place], firsts)), off
+    return mix(np.add.reduceat((b[at].astype(U) + U(1)) * _POWERS[place], firsts)), off, text, start, end
+
+
+def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts, and offsets; a null text has none."""
+    return split([(t or "").lower().encode("utf-8", "surrogatepass") for t in texts])[:2]
 
 
 def shingles(w: np.ndarray, off: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

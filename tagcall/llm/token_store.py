@@ -14,7 +14,6 @@ end id; rows that repeat an id stay next to each other; an empty table gives an
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import saved, table
+from ._text import split
 
 MAGIC = b"DAC1"
 BITS = 8
@@ -34,12 +34,10 @@ BITS = 8
 SEGMENT_TOKENS = 1 << 19
 END_ID = 2
 RANK_BITS = 512
-#: Words whose ids a worker remembers; the memory is emptied when full.
-CACHE_WORDS = 400_000
-_WORD = re.compile(r"[^\x20\t-\r]+")
-#: Outside these characters lower-casing and splitting are left to the tokenizer.
-_NOT_LATIN = re.compile("[^\\x00-\\x1b\\x20-\\x84\\x86-\\x9f\\xa1-\\u012f\\u0131-\\u024f]")
-_PUNCT_RUN = re.compile(r"[^\w\s][.,]|_[.,]")
+#: Words whose ids a worker remembers, by 64-bit hash; when full, those used most stay.
+#: Stands between words that are encoded together; one that holds it is encoded alone.
+SEPARATOR = "§"
+TABLE_WORDS = 1 << 20
 
 
 # ---------------------------------------------------------------- the codes
@@ -112,6 +110,9 @@ class Segment:
 
 # ---------------------------------------------------------------- tokenizing
 
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
 class WordTokenizer:
     """Whole texts to ids through a word cache.
 
@@ -124,44 +125,122 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.separator = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self._clear()
 
+    @classmethod
+    def of(cls, path: str) -> WordTokenizer:
+        """This worker's tokenizer, whose words outlive a task."""
+        if path not in _TOKENIZERS:
+            _TOKENIZERS[path] = cls(path)
+        return _TOKENIZERS[path]
+
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
         self.flat = np.empty(0, np.uint32)
         self.begin = np.empty(0, np.int64)
         self.size = np.empty(0, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        self.known.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+        self.uses = np.empty(0, np.int64)
+        self.keys = np.empty(0, np.uint64)
+        self._index()
+
+    def _index(self) -> None:
+        """An open-addressing table from word hash to word number, a quarter full at most."""
+        self.slot_key, self.slot_word = np.zeros(4 * TABLE_WORDS, np.uint64), np.zeros(4 * TABLE_WORDS, np.int32)
+        self._place(self.keys, 0)
+
+    def _probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key's slot, or the empty slot where it would go, and whether it is there."""
+        mask = np.uint64(len(self.slot_key) - 1)
+        at = (keys & mask).astype(np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            held = self.slot_key[at[todo]]
+            todo = todo[(held != keys[todo]) & (held != 0)]
+            at[todo] = (at[todo] + 1) & int(mask)
+        return at, self.slot_key[at] == keys
+
+    def _place(self, keys: np.ndarray, number: int) -> None:
+        """Add distinct new keys, numbered from ``number``."""
+        todo = np.arange(len(keys))
+        while len(todo):
+            at, _ = self._probe(keys[todo])
+            _, first = np.unique(at, return_index=True)  # one key for each empty slot, the others go on
+            self.slot_key[at[first]] = keys[todo[first]]
+            self.slot_word[at[first]] = number + todo[first]
+            todo = np.delete(todo, first)
+
+    def _encode_words(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has."""
+        plain = [w for w in new if SEPARATOR not in w and "<|" not in w]
+        odd = [w for w in new if SEPARATOR in w or "<|" in w]
+        new[:] = plain + odd
+        runs = [f" {SEPARATOR} ".join(plain[i : i + 256]) + f" {SEPARATOR}" for i in range(0, len(plain), 256)]
+        flat = np.array(list(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False))), np.uint32)
+        # a word that has no separator in it has none of the separator's ids in this order
+        hit = np.ones(len(flat), bool)
+        for j, x in enumerate(self.separator):
+            hit &= np.roll(flat == x, -j) if len(flat) else hit
+        ends = np.flatnonzero(hit)
+        keep = np.ones(len(flat), bool)
+        for j in range(len(self.separator)):
+            keep[ends + j] = False
+        size = np.diff(np.concatenate([[-len(self.separator)], ends])) - len(self.separator)
+        if len(size) != len(plain):
+            raise AssertionError("words and separators don't match")
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+        return np.concatenate([flat[keep], np.array(list(chain.from_iterable(got)), np.uint32)]), np.concatenate([size, np.array([len(g) for g in got], np.int64)])
+
+    def _learn(self, keys: np.ndarray, new: list[str]) -> None:
+        order = {w: k for w, k in zip(new, keys.tolist(), strict=True)}
+        flat, size = self._encode_words(new)
+        keys = np.array([order[w] for w in new], np.uint64)
+        self._place(keys, len(self.keys))
+        self.keys = np.concatenate([self.keys, keys])
         self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-        self.flat = np.concatenate([self.flat, np.fromiter((x for g in got for x in g), np.uint32, int(size.sum()))])
+        self.flat = np.concatenate([self.flat, flat])
         self.size = np.concatenate([self.size, size])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+
+    def _forget(self) -> None:
+        """Keep the words used most, half of the room at most."""
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[: TABLE_WORDS // 2])
+        stay = stay[self.uses[stay] > 1]
+        size = self.size[stay]
+        stop = np.cumsum(size)
+        flat = self.flat[np.repeat(self.begin[stay] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
+        self.flat, self.begin, self.size, self.uses, self.keys = flat, stop - size, size, self.uses[stay] >> 1, self.keys[stay]
+        self._index()
 
     @staticmethod
-    def _words(text: str) -> list[str]:
-        """The text's words, folded where that can't change their ids, to find more of them known."""
-        if not _NOT_LATIN.search(text):
-            text = text.lower()
-            if not _PUNCT_RUN.search(text):  # then a full stop or comma at a word's end is a piece of its own
-                text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
-            return text.split()
-        return _WORD.findall(text)
+    def _folded(text: str) -> bytes:
+        """The text with the same ids, changed so that more of its words are known ones."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.encode()  # beyond these characters lower-casing is left to the tokenizer
+        return text.lower().encode()
 
     def encode_many(self, texts: list[str], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, each text's followed by ``end_id``, and each text's length."""
-        split = [self._words(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self._clear()
-        every = list(chain.from_iterable(split))
-        found = list(map(self.known.get, every))
-        if None in found:
-            self._learn(sorted({w for w, k in zip(every, found, strict=True) if k is None}))
-            found = list(map(self.known.get, every))
-        word = np.array(found, np.int64)
-        counts = np.fromiter(map(len, split), np.int64, len(split))
+        keys, off, joined, start, end = split([self._folded(t) for t in texts], peel=True)
+        keys |= np.uint64(keys == 0)
+        if not len(keys):
+            return np.full(len(texts), end_id, np.uint32), np.ones(len(texts), np.int64)
+        counts = np.diff(off)
+        at, known = self._probe(keys)
+        if not known.all():
+            if len(self.keys) + len(keys) > TABLE_WORDS:
+                self._forget()
+                at, known = self._probe(keys)
+            missing = np.flatnonzero(~known)
+            new, first = np.unique(keys[missing], return_index=True)
+            if len(self.keys) + len(new) > len(self.slot_key) // 2:
+                raise ValueError("more distinct words in one chunk than the table holds")
+            where = missing[first]
+            self._learn(new, [joined[a:b].decode() for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+            at, _ = self._probe(keys)
+        word = self.slot_word[at]
+        self.uses += np.bincount(word, minlength=len(self.uses))
         size = self.size[word]
         stop = np.cumsum(size)
         flat = self.flat[np.repeat(self.begin[word] - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
@@ -184,7 +263,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, name: str = "token-store",
     """Tokenize, order by id, write the store to the shared folder; returns the written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, seg = WordTokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
+        tokenizer, part, seg = WordTokenizer.of(tokenizer_path), TaskContext.get().partitionId(), 0
         held_ids, held_docs, held_len, total = [], [], [], 0
 
         def close() -> pa.RecordBatch:
