@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import exact_dedup, html_text, language, mixing, near_dedup, pii, token_store
+from . import exact_dedup, html_text, language, mixing, near_dedup, pii, token_store, toxicity
 
 QUERIES = {
+    "op7_toxicity": toxicity.op7_toxicity,
     "op3_html_text": html_text.op3_html_text,
     "op10_near_dedup": near_dedup.op10_near_dedup,
     "op1_language": language.op1_language,
