@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import decontaminate, exact_dedup, html_text, language, mixing, near_dedup, pii, token_store, toxicity
+from . import decontaminate, exact_dedup, html_text, language, mixing, near_dedup, passages, pii, token_store, toxicity
 
 QUERIES = {
+    "op5_passages": passages.op5_passages,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_toxicity": toxicity.op7_toxicity,
     "op3_html_text": html_text.op3_html_text,
