@@ -172,6 +172,20 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, languages string")
 
 
+def drop_unidentified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a language."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = []
+            for part in chunks(((t,) for t in batch.column(at).to_pylist()), 0):
+                known += [lang != "und" for lang, _, _ in held.value.infer([t for (t,) in part])]
+            yield batch.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """The model of all rows that are not held out."""
     return Model.fit(docs.where(crc_mod(id_col, 5) != 0).select(docs[lang_col].alias("lang"), docs[text_col].alias("text")))

@@ -131,5 +131,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def repeat_to_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
+    """The mix itself: each row, with all its columns, as often as the mix takes it.
+
+    Rows with the same id and text are one row here that is taken as often as all of them.
+    """
+    row = F.xxhash64(F.col(id_col), F.col(text_col))
+    sized = docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"))
+    taken = saved(copies(sized, seed).groupBy("row").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "mix-taken")
+    plain = docs.join(taken.where("rows = 1 AND copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies")), row == F.col("_row"))
+    again = taken.where("rows > 1 AND copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies"))
+    if again.limit(1).count():
+        plain = plain.union(docs.join(again, row == F.col("_row")).dropDuplicates(["_row"]))
+    return plain.select(*(plain[c] for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
