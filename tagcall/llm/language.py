@@ -103,7 +103,8 @@ class Model:
         rows = count_ngrams(labelled.where(labelled["lang"].isNotNull())).toPandas()
         langs = sorted(rows["lang"].unique())
         counts = np.zeros((BUCKETS, len(langs)))
-        counts[rows["bucket"].to_numpy(np.int64), np.searchsorted(np.array(langs, object), rows["lang"].to_numpy(object)) if langs else 0] = rows["n"] if langs else 0
+        if langs:
+            counts[rows["bucket"].to_numpy(np.int64), np.searchsorted(np.array(langs, object), rows["lang"].to_numpy(object))] = rows["n"]
         return cls(langs, counts)
 
     def infer(self, texts: list[str | None]) -> list[tuple[str, float, str]]:
