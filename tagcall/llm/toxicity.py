@@ -3,8 +3,8 @@
 A word's evidence is the largest weight of its pieces: the whole word and its first 3, 4, 5 and 6
 letters, hashed to ``BUCKETS``.  A document's logit is linear in the evidence of its ``BEST``
 strongest distinct words, wherever they stand, so length does not dilute it.  A piece's weight begins as a lower
-bound of its log-odds over all labelled training rows; then gradient descent on at most ``SAMPLE``
-labelled rows fits bias, slopes and weights, where each row's own count is taken out of its
+bound of its log-odds over all labelled training rows; then gradient descent on about ``SAMPLE``
+labelled rows at most fits bias, slopes and weights, where each row's own count is taken out of its
 weights, and the squared change of the logit when identity terms of its text are swapped for
 others of their group is added to the loss.  So a group's name keeps no weight of its own.
 
@@ -30,7 +30,8 @@ from .language import _LETTER
 
 BUCKETS = 1 << 20
 PREFIXES = (3, 4, 5, 6)
-#: Labelled rows that the gradient fit sees at most, by hash order of the id; counts see all rows.
+#: Labelled rows that the gradient fit sees, give or take one in a hundred, by hash of the id; all of them
+#: if there are no more.  Counts see all rows.
 SAMPLE = 20_000
 #: Strongest words that count, and those of a row that the gradient fit sees.
 BEST = 3
@@ -173,7 +174,8 @@ def fit(rows: DataFrame, penalty: float = SWAP_PENALTY, sample: int = SAMPLE, ro
                 kind = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int64()), pa.array([x.tolist() for x in seen[0]], kind), pa.array([x.tolist() for x in seen[1]], kind)], ["toxic", "own", "swap"])
 
-    some = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("toxic", "text")
+    share = min(1.0, sample / (n_clean + n_toxic))
+    some = rows.where(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("toxic", "text")
     got = some.mapInArrow(run, "toxic long, own array<long>, swap array<long>").toPandas()
     y = got["toxic"].to_numpy(float)
 
