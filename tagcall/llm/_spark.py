@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,18 +19,40 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+#: Rows of a file of a written table whose size is known beforehand.
+FILE_ROWS = 100_000
+
+
+def saved(df: DataFrame, name: str, rows: int | None = None, per_file: int = FILE_ROWS) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``rows``: at most so many rows are expected, so no more files than they need are written; their
+    number grows with the rows.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tagcall/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(rows // per_file + 1)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch to Python workers; long texts would make larger ones heavy.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table; from here on the session hands Python workers small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """Hint a broadcast only when the counted rows fit the bound; else the join shuffles.
 
