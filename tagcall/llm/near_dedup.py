@@ -9,8 +9,10 @@ registers agree with the probability Jaccard similarity of the weighted sets.
 Documents with one word sequence are one node.  ``BANDS`` hashes of ``REGISTERS / BANDS``
 registers bring nodes together.  In each band bucket all nodes are verified against a few leaders
 (the most central nodes) by the exact Jaccard similarity of their shingle sets; nodes that fail
-stay in the bucket with new leaders, until no bucket has two nodes left.  So there is no cap on
-buckets or partners, and never all pairs of one.  Verified links join into classes.
+stay in the bucket with new leaders, until no bucket has two nodes left.  Verified links join into
+classes.  Large buckets are split for those rounds, so a last step takes each whole one again: all its
+pairs of different classes pass an exact bound on sketches, and what the bound leaves is verified.
+There is no cap on buckets or partners.
 
 Texts without words (null, empty, blanks) are classes of their own; texts of 1 to 4 words are one
 shingle.  The smallest id of a class stays (null ids come last).  Rows that repeat an id are rows
@@ -37,10 +39,16 @@ REGISTERS = 64
 BANDS = 16
 #: Leaders that a bucket's nodes meet in the first and in later rounds.
 LEADERS = (4, 16)
-#: Buckets of more nodes are split by each of the next SECOND bands; a pair at the threshold that
-#: shares a bucket shares one of those with 79 %, and it shares six buckets on average: 0.2 % are lost.
+#: Buckets of more nodes are split by each of the next SECOND bands for the rounds.  That alone would lose
+#: 1.6 % of pairs at the threshold all of whose buckets are large, so ``_unsplit`` takes those buckets whole.
 LARGE = 8
 SECOND = 3
+#: Members of a block of a whole bucket; pairs of blocks are compared as groups.
+BLOCK = 512
+#: Pairs of two classes that a pair of blocks gives at first, as one link is enough; all others come last.
+FIRST = 32
+#: Bits of a sketch for each shingle, at least.
+SKETCH_BITS = 4
 _CHUNK = 1 << 19
 
 
@@ -137,14 +145,94 @@ def _jaccard(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a binary, b binary, similarity double")
 
 
-def near_links(signed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b, similarity) between nodes; texts has (doc_id, th, text)."""
+def sketch(grams: np.ndarray) -> bytes:
+    """Parities of the shingles' counts in a power of two of bits; its halves XORed are the sketch of half the bits."""
+    bits = max(64, SKETCH_BITS << max(0, len(grams) - 1).bit_length())
+    return np.packbits((np.bincount(grams & np.uint32(bits - 1), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _sketches(grams: DataFrame) -> DataFrame:
+    """(fp, size, sketch) of rows (fp, grams)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(v.as_buffer(), "<u4") for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in sets], pa.int64()), pa.array([sketch(g) for g in sets], pa.binary())], ["fp", "size", "sketch"])
+
+    return grams.select("fp", "grams").mapInArrow(run, "fp binary, size long, sketch binary")
+
+
+def possible(sketches: list[bytes], size: np.ndarray, label: np.ndarray, side: np.ndarray, similarity: float, most: int | None) -> tuple[list[int], list[int], list[bool]]:
+    """Pairs (x, y, whether their two labels have more) that may reach ``similarity``, of different labels.
+
+    Sketches that differ in d bits are of sets that differ in d shingles at least, so no pair that
+    reaches it is missing.  side: where it has both values, only pairs across count.
+    ``most``: of two labels only so many pairs, the likeliest.
+    """
+    share = (1 - similarity) / (1 + similarity)
+    length = np.array([len(s) for s in sketches])
+    rows = {n: np.flatnonzero(length == n) for n in np.unique(length).tolist()}
+    bits = {n: np.frombuffer(b"".join(sketches[i] for i in at), np.uint64).reshape(len(at), -1) for n, at in rows.items()}
+    across = len(np.unique(side)) > 1
+    found = []
+    for n, at in rows.items():
+        others = [(at, bits[n], True)]
+        if 2 * n in rows:  # sets of twice the size never reach 0.5, so only the next length is of use
+            wide = bits[2 * n]
+            others.append((rows[2 * n], wide[:, : wide.shape[1] // 2] ^ wide[:, wide.shape[1] // 2 :], False))
+        for to, their, same in others:
+            for k, x in enumerate(at.tolist()):
+                y, v = (to[k + 1 :], their[k + 1 :]) if same else (to, their)
+                ok = (label[y] != label[x]) & (np.minimum(size[y], size[x]) >= similarity * np.maximum(size[y], size[x]) - 1e-6)
+                if across:
+                    ok &= side[y] != side[x]
+                y, v = y[ok], v[ok]
+                apart = np.bitwise_count(v ^ bits[n][k]).sum(1, dtype=np.int64)
+                near = apart <= (size[y] + size[x]) * share + 1e-6
+                if near.any():
+                    found.append((np.full(near.sum(), x), y[near], apart[near] / (size[y] + size[x])[near]))
+    if not found:
+        return [], [], []
+    x, y, apart = (np.concatenate(c) for c in zip(*found, strict=True))
+    more = np.zeros(len(x), bool)
+    if most is not None:
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        order = np.lexsort((apart, high, low))
+        x, y, low, high = x[order], y[order], low[order], high[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        first = np.flatnonzero(new)
+        counts = np.diff(np.append(first, len(x)))
+        rank = np.arange(len(x)) - np.repeat(first, counts)
+        keep = rank < most
+        x, y, more = x[keep], y[keep], np.repeat(counts > most, counts)[keep]
+    return x.tolist(), y.tolist(), more.tolist()
+
+
+def _unsplit(members: DataFrame, sketches: DataFrame, similarity: float, most: int | None) -> DataFrame:
+    """Pairs (a, b, more) of members (key, n, fp, label) of whole buckets that the bound leaves, across labels."""
+
+    def run(table_: pa.Table) -> pa.Table:
+        fp = table_.column("fp").to_pylist()
+        _, label = np.unique(np.array(table_.column("label").to_pylist(), dtype=object), return_inverse=True)
+        x, y, more = possible(table_.column("sketch").to_pylist(), table_.column("size").to_numpy(), label, table_.column("block").to_numpy(), similarity, most)
+        a, b = [min(fp[i], fp[j]) for i, j in zip(x, y, strict=True)], [max(fp[i], fp[j]) for i, j in zip(x, y, strict=True)]
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(more, pa.bool_())], ["a", "b", "more"])
+
+    blocks = F.floor(F.col("n") / BLOCK) + 1
+    placed = members.withColumn("block", F.pmod(F.xxhash64("fp", F.lit(7)), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "label").join(sketches, "fp")
+    return placed.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary, more boolean")
+
+
+def near_labels(signed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, label) of the classes of nodes with links; texts has (doc_id, th, text)."""
     nodes = signed.where("fp IS NOT NULL").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.first("bands").alias("bands"))
     nodes = saved(nodes.select("fp", "of.doc_id", "of.th", "bands"), "near-nodes", signed.count())
     n = nodes.count()
     members = nodes.select("fp", F.posexplode("bands").alias("band", "key")).select("fp", "band", F.xxhash64("band", "key").alias("key"))
     sizes = saved(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets", n)
-    members = saved(members.join(sizes, "key"), "near-members", 2 * n)
+    members = whole = saved(members.join(sizes, "key"), "near-members", 2 * n)
     # A large bucket holds near copies, or texts that share one heavy shingle: a second band tells them apart.
     large = members.where(F.col("n") > LARGE).join(nodes.select("fp", "bands"), "fp")
     second = F.array(*(F.struct(F.lit(i).alias("i"), F.col("bands")[i].alias("v")) for i in range(BANDS)))
@@ -155,12 +243,16 @@ def near_links(signed: DataFrame, texts: DataFrame, similarity: float = SIMILARI
     central = saved(members.groupBy("fp").agg(F.sum("n").alias("weight")), "near-central", n)
     members = saved(members.select("key", "fp").join(central, "fp"), "near-open", 2 * n)
 
-    wanted = nodes.join(central.select("fp"), "fp").select("fp", "doc_id", "th")
+    wanted = nodes.join(whole.select("fp").distinct(), "fp").select("fp", "doc_id", "th")
     wanted = saved(wanted.withColumnRenamed("doc_id", "of_id"), "near-wanted", n)
     found = texts.join(small(wanted, 64), "th").where(F.col("doc_id").eqNullSafe(F.col("of_id"))).select("fp", "text")
     grams = saved(_sets(found).dropDuplicates(["fp"]), "near-sets")
 
-    links = None
+    def judge(pairs: DataFrame) -> DataFrame:
+        with_a = pairs.join(grams.select(F.col("fp").alias("a"), F.col("grams").alias("grams_a")), "a")
+        return saved(_jaccard(with_a.join(grams.select(F.col("fp").alias("b"), F.col("grams").alias("grams_b")), "b")), "near-judged", pairs.count(), 2000)
+
+    tried_pairs = nodes.sparkSession.createDataFrame([], "a binary, b binary, similarity double")
     for round_ in count():
         m = members.count()
         slots = LEADERS[min(round_, len(LEADERS) - 1)]
@@ -171,15 +263,34 @@ def near_links(signed: DataFrame, texts: DataFrame, similarity: float = SIMILARI
         pairs = saved(led.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct(), "near-pairs", slots * m)
         if not pairs.limit(1).count():
             break
-        with_a = pairs.join(grams.select(F.col("fp").alias("a"), F.col("grams").alias("grams_a")), "a")
-        judged = saved(_jaccard(with_a.join(grams.select(F.col("fp").alias("b"), F.col("grams").alias("grams_b")), "b")), "near-judged", pairs.count(), 2000)
+        judged = judge(pairs)
+        tried_pairs = tried_pairs.union(judged)
         good = judged.where(F.col("similarity") >= similarity)
-        links = good if links is None else links.union(good)
         linked = good.select(F.col("a").alias("lo"), F.col("b").alias("hi"), F.lit(1).alias("ok"))
         tried = led.join(linked, (F.least("fp", "b") == F.col("lo")) & (F.greatest("fp", "b") == F.col("hi")), "left").groupBy("key", "fp").agg(F.max("weight").alias("weight"), F.max("ok").alias("ok"))
         # leaders have met every member, so they leave, as do those that a leader took
         members = saved(tried.where("ok IS NULL").join(lead.select("key", F.col("b").alias("fp")), ["key", "fp"], "left_anti").select("key", "fp", "weight"), "near-open", m)
-    return links if links is not None else nodes.sparkSession.createDataFrame([], "a binary, b binary, similarity double")
+
+    # The rounds compared large buckets in parts: their pairs of different classes, all of them.
+    large = whole.where(F.col("n") > LARGE).select("key", "n", "fp")
+    sketches = None
+    for most in (FIRST, None):
+        label = components(tried_pairs.where(F.col("similarity") >= similarity), "near", 4 * n)
+        placed = saved(large.join(label, large["fp"] == label["node"], "left").select("key", "n", "fp", F.coalesce("label", "fp").alias("label")), "near-placed", 2 * n)
+        mixed = saved(placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "near-mixed", n)
+        placed = saved(placed.join(mixed, "key"), "near-across", 2 * n)
+        if not placed.limit(1).count():
+            return label
+        if sketches is None:
+            sketches = saved(_sketches(grams.join(placed.select("fp").distinct(), "fp")), "near-sketches")
+        left = saved(_unsplit(placed, sketches, similarity, most), "near-left")
+        pairs = saved(left.select("a", "b").distinct().join(tried_pairs, ["a", "b"], "left_anti"), "near-left-pairs", left.count())
+        judged = judge(pairs)
+        tried_pairs = tried_pairs.union(judged)
+        found = judged.where(F.col("similarity") >= similarity).limit(1).count()
+        if not left.where("more").limit(1).count():
+            break
+    return components(tried_pairs.where(F.col("similarity") >= similarity), "near", 4 * n) if found else label
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -189,8 +300,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("th"), docs[text_col].alias("text"))
     signed = saved(_sign(rows), "near-signed")
-    links = near_links(signed, rows, similarity)
-    label = components(links, "near", 4 * signed.count())
+    label = near_labels(signed, rows, similarity)
     rows_of = saved(signed.select("doc_id", "th", "fp"), "near-rows", signed.count())
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
     by_node = rows_of.where("fp IS NOT NULL").groupBy("fp").agg(F.count("*").alias("n"), F.min(order).alias("low"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -263,6 +264,42 @@ def test_near_dedup_edits(spark):
     assert got == brute_classes({i: t for i, t, _, _ in rows})
 
 
+def one_band(monkeypatch, key):
+    """Documents share the band ``key`` (an expression) and no other."""
+    own = ", ".join(f"xxhash64(doc_id, {i})" for i in range(1, near_dedup.BANDS))
+    monkeypatch.setattr(near_dedup, "_sign", lambda rows: rows.selectExpr("doc_id", "th", "unhex(md5(text)) AS fp", f"array({key}, {own}) AS bands"))
+
+
+def test_near_dedup_takes_large_buckets_whole(spark, monkeypatch):
+    r = random.Random(4)
+    rows = []
+    for k in range(40):
+        w = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        rows.append((k, " ".join(w), "en", "a"))
+        if k % 4 == 0:
+            rows.append((100 + k, " ".join([*w[:-2], "x", "y"]), "en", "a"))
+    one_band(monkeypatch, "1L")
+    for block in (near_dedup.BLOCK, 8):  # 50 texts in one block, and in pairs of blocks
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got = {x["doc_id"]: x["keep_id"] for x in near_dedup.near_dedup(docs(spark, rows)).collect()}
+        assert got == brute_classes({i: t for i, t, _, _ in rows})
+
+
+def test_sketches_lose_no_pair():
+    r = np.random.default_rng(5)
+    sets = []
+    for n in (3, 20, 60, 64, 66, 130, 500):
+        base = r.integers(0, 1 << 32, n, dtype=np.uint32)
+        sets += [np.unique(np.concatenate([base[: n - k], r.integers(0, 1 << 32, j, dtype=np.uint32)])) for k in range(0, n // 3, 1 + n // 30) for j in (0, k)]
+    size, label = np.array([len(s) for s in sets]), np.arange(len(sets))
+    need = {(i, j) for i, j in combinations(range(len(sets)), 2) if (both := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (size[i] + size[j] - both)}
+    x, y, _ = near_dedup.possible([near_dedup.sketch(s) for s in sets], size, label, np.zeros(len(sets)), 0.8, None)
+    got = {(min(p), max(p)) for p in zip(x, y)}
+    assert need <= got and len(got) < 1.5 * len(need)
+    x, y, more = near_dedup.possible([near_dedup.sketch(s) for s in sets], size, label // (len(sets) // 2 + 1), np.zeros(len(sets)), 0.8, 3)
+    assert len(x) <= 3
+
+
 def test_prob_min_hash_estimates():
     r = np.random.default_rng(3)
     u = r.integers(1, 1 << 62, 300).astype(np.uint64)
