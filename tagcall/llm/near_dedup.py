@@ -10,9 +10,10 @@ Documents with one word sequence are one node.  ``BANDS`` hashes of ``REGISTERS
 registers bring nodes together.  In each band bucket all nodes are verified against a few leaders
 (the most central nodes) by the exact Jaccard similarity of their shingle sets; nodes that fail
 stay in the bucket with new leaders, until no bucket has two nodes left.  Verified links join into
-classes.  Large buckets are split for those rounds, so a last step takes each whole one again: all its
-pairs of different classes pass an exact bound on sketches, and what the bound leaves is verified.
-There is no cap on buckets or partners.
+classes.  A node that a leader took never meets later leaders, and large buckets are split for the
+rounds, so a last step takes each whole bucket again: all pairs of different classes are verified, in
+large buckets those that an exact bound on sketches leaves.  So every pair that shares a bucket is in
+one class or was verified.  There is no cap on buckets or partners.
 
 Texts without words (null, empty, blanks) are classes of their own; texts of 1 to 4 words are one
 shingle.  The smallest id of a class stays (null ids come last).  Rows that repeat an id are rows
@@ -271,19 +272,25 @@ def near_labels(signed: DataFrame, texts: DataFrame, similarity: float = SIMILAR
         # leaders have met every member, so they leave, as do those that a leader took
         members = saved(tried.where("ok IS NULL").join(lead.select("key", F.col("b").alias("fp")), ["key", "fp"], "left_anti").select("key", "fp", "weight"), "near-open", m)
 
-    # The rounds compared large buckets in parts: their pairs of different classes, all of them.
-    large = whole.where(F.col("n") > LARGE).select("key", "n", "fp")
+    # The rounds left pairs out, of nodes already taken and of large buckets: all those of different classes.
+    open_ = whole.where("n > 2").select("key", "n", "fp")  # two nodes have met
     sketches = None
     for most in (FIRST, None):
         label = components(tried_pairs.where(F.col("similarity") >= similarity), "near", 4 * n)
-        placed = saved(large.join(label, large["fp"] == label["node"], "left").select("key", "n", "fp", F.coalesce("label", "fp").alias("label")), "near-placed", 2 * n)
+        placed = saved(open_.join(label, open_["fp"] == label["node"], "left").select("key", "n", "fp", F.coalesce("label", "fp").alias("label")), "near-placed", 2 * n)
         mixed = saved(placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "near-mixed", n)
         placed = saved(placed.join(mixed, "key"), "near-across", 2 * n)
         if not placed.limit(1).count():
             return label
+        large = placed.where(F.col("n") > LARGE)
         if sketches is None:
-            sketches = saved(_sketches(grams.join(placed.select("fp").distinct(), "fp")), "near-sketches")
-        left = saved(_unsplit(placed, sketches, similarity, most), "near-left")
+            sketches = saved(_sketches(grams.join(large.select("fp").distinct(), "fp")), "near-sketches")
+        left = _unsplit(large, sketches, similarity, most)
+        if most:
+            few = placed.where(F.col("n") <= LARGE)
+            others = few.select("key", F.col("fp").alias("b"), F.col("label").alias("label_b"))
+            left = left.union(few.join(others, "key").where("fp < b AND label <> label_b").select(F.col("fp").alias("a"), "b", F.lit(False).alias("more")))
+        left = saved(left, "near-left")
         pairs = saved(left.select("a", "b").distinct().join(tried_pairs, ["a", "b"], "left_anti"), "near-left-pairs", left.count())
         judged = judge(pairs)
         tried_pairs = tried_pairs.union(judged)

@@ -285,6 +285,20 @@ def test_near_dedup_takes_large_buckets_whole(spark, monkeypatch):
         assert got == brute_classes({i: t for i, t, _, _ in rows})
 
 
+def test_near_dedup_links_taken_nodes(spark, monkeypatch):
+    r = random.Random(7)
+    rows = []
+    for family in range(30):  # each text is near the next one only
+        w = [f"w{r.randrange(10**6)}" for _ in range(70)]
+        for k in range(7):
+            rows.append((10 * family + k, " ".join(w[3 * k : 3 * k + 50]), "en", "a"))
+    one_band(monkeypatch, "doc_id div 10")
+    got = {x["doc_id"]: x["keep_id"] for x in near_dedup.near_dedup(docs(spark, rows)).collect()}
+    want = brute_classes({i: t for i, t, _, _ in rows})
+    assert len(set(want.values())) == 30
+    assert got == want
+
+
 def test_sketches_lose_no_pair():
     r = np.random.default_rng(5)
     sets = []
