@@ -3,7 +3,7 @@
 Passages are windows of two blocks of ``BLOCK`` words, one block apart, over whole documents.
 They and the benchmark's items are TF-IDF vectors over the benchmark's vocabulary (a word outside
 it adds nothing to any inner product with an item), with document frequencies over all documents.
-A distributed randomised SVD of the items and of a bounded sample of passages gives the latent
+A distributed randomised SVD of the items and of all passages gives the latent
 space; every passage of every document is projected and compared with every item by cosine.
 Candidates are verified on the words around them: the longest common subsequence must hold
 ``LCS_SHARE`` of the item, and the answer check must pass: the item's answer, where there is one,
@@ -31,10 +31,6 @@ from ._text import U, chunks, words
 BLOCK = 32
 RANK = 256
 ITEMS = 2048
-#: Documents whose passages the SVD sees at most, by hash of the id; the search sees all.
-SAMPLE = 2000
-#: Tasks of the SVD, each of which sends one (vocabulary x rank) matrix.
-FIT_TASKS = 6
 COSINE = 0.45
 LCS_SHARE = 0.6
 LCS_WORDS = 8
@@ -186,33 +182,38 @@ def document_frequencies(texts: DataFrame, items: Items) -> tuple[np.ndarray, in
     return out[:-1], int(out[-1])
 
 
-def latent_basis(sample: DataFrame, items: Items, rank: int = RANK, seed: int = 0) -> np.ndarray:
+def latent_basis(texts: DataFrame, items: Items, rank: int = RANK, seed: int = 0) -> np.ndarray:
     """Right singular vectors (vocabulary x rank) by randomised SVD with one power step.
 
-    The rows are the items, each as heavy as all passages of a sampled document, and the sample's
-    passages; each task sends A'(A Omega) of its passages, a matrix whose size does not grow with them.
+    The rows are the items and the passages of all documents, the latter with a tenth of the items'
+    weight in all; each task, one a core, writes A'(A Omega) of its passages, a matrix whose size does
+    not grow with them.
     """
     own = items.vectors()
     rank = min(rank, len(own) + 56, own.shape[1])
     omega = np.random.default_rng(seed).standard_normal((own.shape[1], rank)).astype(np.float32)
-    held = sample.sparkSession.sparkContext.broadcast((items, omega))
+    held = texts.sparkSession.sparkContext.broadcast((items, omega))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items_, omega_ = held.value
-        total = np.zeros_like(omega_)
+        weight = items_.weight.astype(np.float32)
+        weighted = omega_ * weight[:, None]
+        total = np.zeros(omega_.shape)
         for _, h, off in _hashed(batches, 0):
             block, word, doc_of, _ = items_.passages(items_.find(h), off)
             if len(block):
                 own_, at = np.unique(block, return_index=True)
-                y = np.add.reduceat(omega_[word] * items_.weight[word, None].astype(np.float32), at, axis=0)
-                length = np.sqrt(np.add.reduceat(items_.weight[word] ** 2, at))
-                y /= (length**2)[:, None].astype(np.float32)
-                np.add.at(total, word, y[np.searchsorted(own_, block)] * items_.weight[word, None].astype(np.float32))
+                y = np.add.reduceat(weighted[word], at, axis=0)
+                y /= np.add.reduceat(items_.weight[word] ** 2, at)[:, None].astype(np.float32)
+                order = np.argsort(word, kind="stable")
+                words_, first = np.unique(word[order], return_index=True)
+                total[words_] += np.add.reduceat(y[np.searchsorted(own_, block[order])], first, axis=0) * weight[words_, None]
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["g"])
 
     g = np.zeros(omega.shape)
-    for row in sample.repartition(FIT_TASKS).select("text").mapInArrow(run, "g binary").toLocalIterator():
-        g += np.frombuffer(row[0], np.float32).reshape(omega.shape)
+    parts = texts.select("text").coalesce(max(1, texts.sparkSession.sparkContext.defaultParallelism))
+    for row in saved(parts.mapInArrow(run, "g binary"), "decon-fit").toLocalIterator():
+        g += np.frombuffer(row[0]).reshape(omega.shape)
     scale = np.linalg.norm(own.T @ (own @ omega)) / max(np.linalg.norm(g), 1e-12)
     q, _ = np.linalg.qr(own.T @ (own @ omega) + 0.1 * scale * g)
     return q
@@ -228,10 +229,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = None
     while part := list(islice(source, ITEMS)):
         items = Items(part)
-        items.weigh(*(counts := document_frequencies(texts, items)))
-        share = min(1.0, SAMPLE / max(1, counts[1]))
-        sample = saved(texts.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < int(share * (1 << 20))).select("text"), "decon-sample")
-        items.embed(latent_basis(sample, items))
+        items.weigh(*document_frequencies(texts, items))
+        items.embed(latent_basis(texts, items))
         held = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:

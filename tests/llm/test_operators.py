@@ -415,6 +415,39 @@ def test_decontamination_paraphrase_and_answer(spark):
     assert decontaminate.decontaminate(d, wrong, answer_col="answer").count() == 0
 
 
+def test_decontamination_fits_all_documents(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(i, " ".join(f"w{r.randrange(200)}" for _ in range(20)), "en", "a") for i in range(2600)]
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(0, 30)))], "item_id long, text string")
+    seen, fit = [], decontaminate.latent_basis
+    monkeypatch.setattr(decontaminate, "latent_basis", lambda d, *a: seen.append(d.count()) or fit(d, *a))
+    decontaminate.decontaminate(docs(spark, rows), bench)
+    assert seen == [2600]
+
+
+def test_latent_basis_like_brute_force(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(f"w{r.randrange(60)}" for _ in range(r.randrange(1, 100))), "en", "a") for i in range(50)]
+    items = decontaminate.Items([(k, " ".join(f"w{r.randrange(60)}" for _ in range(12)), None) for k in range(20)])
+    d = docs(spark, rows)
+    items.weigh(*decontaminate.document_frequencies(d, items))
+    got = decontaminate.latent_basis(d, items, rank=8)
+    blocks = []
+    for _, t, _, _ in rows:
+        number = items.find(decontaminate.words([t])[0])
+        for k in range(0, len(number), decontaminate.BLOCK):
+            row = np.zeros(len(items.vocab))
+            np.add.at(row, (n := number[k : k + decontaminate.BLOCK])[n >= 0], items.weight[n[n >= 0]])
+            some = n[n >= 0]
+            if (length := (items.weight[some] ** 2).sum()) > 0:
+                blocks.append(row / np.sqrt(length))
+    a, own = np.array(blocks), items.vectors()
+    omega = np.random.default_rng(0).standard_normal((own.shape[1], 8))
+    g, h = a.T @ (a @ omega), own.T @ (own @ omega)
+    want, _ = np.linalg.qr(h + 0.1 * np.linalg.norm(h) / np.linalg.norm(g) * g)
+    assert np.abs(got @ got.T - want @ want.T).max() < 1e-4
+
+
 def test_decontamination_odd(spark, data, odd, none):
     b = table(spark, data, "benchmark")
     assert decontaminate.decontaminate(odd, b).count() == 0
