@@ -354,6 +354,18 @@ def test_passages(spark):
     assert spans[5][0] <= 105 and spans[5][1] >= 215
 
 
+def test_matching_keeps_both_sides_of_an_insertion():
+    r = np.random.default_rng(10)
+    w = r.integers(1, 1 << 62, 400).astype(np.uint64)
+    runs = lambda x: passages.shingles(x, np.array([0, len(x)]), 5)[0]
+    a, b = runs(w[:160]), runs(np.concatenate([w[:80], w[200:240], w[80:160]]))
+    got = np.zeros(len(a), bool)
+    for lo, hi, lo_b, hi_b, j in passages.matching(a, b):
+        assert j == passages._jaccard(a[lo:hi], b[lo_b:hi_b]) >= 0.8
+        got[lo:hi] = True
+    assert got[:76].all() and got[80:].all()
+
+
 def test_compact_windows_like_brute_force():
     r = np.random.default_rng(5)
     h = r.integers(0, 40, 300).astype(np.uint64)
