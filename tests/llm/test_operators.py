@@ -388,6 +388,19 @@ def test_compact_windows_like_brute_force():
     assert set(zip(text.tolist(), c.tolist(), left.tolist(), right.tolist(), strict=True)) == want
 
 
+def test_passages_at_the_threshold_share_a_key():
+    r = np.random.default_rng(11)
+    met = 0
+    for _ in range(200):
+        w = r.integers(1, 1 << 62, (5, 100)).astype(np.uint64)
+        shared, edited = w[0, :50], w[0, :50].copy()
+        edited[25] = w[0, 60]
+        two = [np.concatenate([w[1], shared, w[2]]), np.concatenate([w[3], edited, w[4]])]
+        text, key, _ = passages.keyed_windows(*passages.shingles(np.concatenate(two), np.array([0, 250, 500]), 5))
+        met += len(np.intersect1d(key[text == 0], key[text == 1])) > 0
+    assert met >= 194
+
+
 def test_passages_on_documents(spark, data, texts):
     """Every document with 50 words in a row that another has is found."""
     runs = {}
