@@ -388,6 +388,20 @@ def test_compact_windows_like_brute_force():
     assert set(zip(text.tolist(), c.tolist(), left.tolist(), right.tolist(), strict=True)) == want
 
 
+def test_passages_that_either_text_repeats(spark):
+    r = random.Random(12)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(8):  # which text leads depends on its hash
+        shared = words(60)
+        rows.append((2 * k, " ".join(shared + words(150) + shared), "en", "a"))
+        rows.append((2 * k + 1, " ".join(words(30) + shared + words(30)), "en", "a"))
+    got = [(x["doc_id"], x["begin"], x["end"]) for x in passages.repeated_passages(docs(spark, rows)).collect()]
+    want = [s for k in range(8) for s in ((2 * k, 0, 60), (2 * k, 210, 270), (2 * k + 1, 30, 90))]
+    missing = [(d, lo, hi) for d, lo, hi in want if not any(e == d and lo - 15 <= b <= lo and hi <= c <= hi + 15 for e, b, c in got)]
+    assert not missing
+
+
 def test_passages_at_the_threshold_share_a_key():
     r = np.random.default_rng(11)
     met = 0
