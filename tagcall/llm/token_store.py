@@ -14,6 +14,7 @@ end id; rows that repeat an id stay next to each other; an empty table gives an
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -220,6 +221,17 @@ class WordTokenizer:
             return text.encode()  # beyond these characters lower-casing is left to the tokenizer
         return text.lower().encode()
 
+    def _in_parts(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode_many``, for more distinct words than the table holds: half of the texts, or of a text's words, at once."""
+        if len(texts) > 1:
+            halves = [self.encode_many(t, end_id) for t in (texts[: len(texts) // 2], texts[len(texts) // 2 :])]
+            return tuple(np.concatenate(c) for c in zip(*halves, strict=True))
+        (text,) = texts
+        blanks = [m.start() for m in re.finditer(r"[ \t-\r]+(?=[^ \t-\r])", text)]
+        cut = blanks[len(blanks) // 2]
+        (first, n), (second, m) = self.encode_many([text[:cut]], end_id), self.encode_many([text[cut:]], end_id)
+        return np.concatenate([first[:-1], second]), n + m - 1
+
     def encode_many(self, texts: list[str], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, each text's followed by ``end_id``, and each text's length."""
         keys, off, joined, start, end = split([self._folded(t) for t in texts], peel=True)
@@ -235,7 +247,7 @@ class WordTokenizer:
             missing = np.flatnonzero(~known)
             new, first = np.unique(keys[missing], return_index=True)
             if len(self.keys) + len(new) > len(self.slot_key) // 2:
-                raise ValueError("more distinct words in one chunk than the table holds")
+                return self._in_parts(texts, end_id)
             where = missing[first]
             self._learn(new, [joined[a:b].decode() for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
             at, _ = self._probe(keys)

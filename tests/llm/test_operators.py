@@ -215,6 +215,18 @@ def test_words_alone_give_the_same_ids(monkeypatch):
     assert w.encode_many(odd_texts)[0].tolist() == ids.tolist()
 
 
+def test_more_words_than_the_table_holds(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_store, "TABLE_WORDS", 1 << 8)
+    w, t = token_store.WordTokenizer(token_store.tokenizer_path()), Tokenizer.from_file(token_store.tokenizer_path())
+    texts = [" ".join(f"id{i * 7919}" for i in range(3000)), "few words.", "\n\t".join(f"No{i}, x" for i in range(2000)) + " "]
+    ids, lengths = w.encode_many(texts)
+    want = [[*t.encode(x, add_special_tokens=False).ids, token_store.END_ID] for x in texts]
+    assert lengths.tolist() == [len(x) for x in want]
+    assert ids.tolist() == [i for x in want for i in x]
+
+
 def test_token_store_odd(odd, none):
     rows = token_store.read_store(token_store.write_store(odd, token_store.tokenizer_path(), segment_tokens=10)).orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == [None, 1, 2, 3, 4, 5, 5, 7, 8]
