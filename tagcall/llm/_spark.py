@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where the session names no shared folder and all its workers are on this machine, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
 #: A join side is broadcast up to this many bytes (rows counted first, times a row's width).
 BROADCAST_BYTES = 32 << 20
@@ -16,24 +15,34 @@ BROADCAST_BYTES = 32 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if not own and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (own or FALLBACK_DIR).rstrip("/")
 
 
-#: Rows of a file of a written table whose size is known beforehand.
-FILE_ROWS = 100_000
+#: Rows that a task of a step with a known number of rows handles, at most.
+TASK_ROWS = 50_000
+#: Lets Spark delete a query's shuffle files as soon as its table is written.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def saved(df: DataFrame, name: str, rows: int | None = None, per_file: int = FILE_ROWS) -> DataFrame:
+def saved(df: DataFrame, name: str, rows: int | None = None, per_task: int = TASK_ROWS) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    ``rows``: at most so many rows are expected, so no more files than they need are written; their
-    number grows with the rows.
+    ``rows``: at most so many rows go into the last step, so no more tasks than they need run it and
+    write; their number grows with the rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tagcall/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
-        df = df.coalesce(rows // per_file + 1)
-    df.write.option("compression", "zstd").parquet(path)
+        df = df.coalesce(rows // per_task + 1)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,12 +56,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now; it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """Hint a broadcast only when the counted rows fit the bound; else the join shuffles.
 
