@@ -23,8 +23,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), _PRIME)
+def powers(n: int, base: np.uint64 = _PRIME) -> np.ndarray:
+    out = np.full(max(n, 1), base)
     out[0] = U(1)
     return np.multiply.accumulate(out)
 
