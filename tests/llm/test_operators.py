@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tagcall.llm import decontaminate, exact_dedup, html_text, language, mixing, near_dedup, passages, pii, token_store, toxicity
+from tagcall.llm import _matching, decontaminate, exact_dedup, html_text, language, mixing, near_dedup, passages, pii, token_store, toxicity
 from tagcall.llm._spark import table
 from tagcall.llm.queries import ORACLE, QUERIES
 
@@ -55,6 +55,19 @@ def test_exact_dedup_matches_sql(spark, data):
     assert sorted(tuple(r) for r in got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()) == want
 
 
+def test_exact_dedup_of_repeated_rows(spark):
+    """Of rows that repeat an id, or have none, one stays, in the operator and in the SQL."""
+    rows = [(5, "a b"), (5, "a b"), (5, "ab"), (None, "x"), (None, "x"), (6, None), (6, None), (6, "")]
+    d = docs(spark, [(i, t, "en", "a") for i, t in rows])
+    got = exact_dedup.exact_dedup(d)
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()), key=key) == sorted(con.sql(ORACLE["op9_exact_dedup"]).fetchall(), key=key)
+    assert got.where("kept").count() == 3
+
+
 def test_exact_dedup_odd(odd, none):
     got = sorted(exact_dedup.exact_dedup(odd).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
     assert [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got] == [(1, 3, 3, False), (2, 3, 3, False), (3, 3, 3, True), (4, 4, 3, True), (5, 4, 3, False), (5, 4, 3, False), (7, 7, 1, True), (8, 8, 1, True), (None, None, 1, True)]
@@ -126,6 +139,34 @@ def test_language_does_not_depend_on_neighbours(spark, data, texts):
     assert model.infer(some) == [model.infer([t])[0] for t in some]
 
 
+def test_language_of_astral_characters(spark, data):
+    """Emoji are no letters, mathematical and gothic letters are."""
+    model = language.learn(table(spark, data, "documents"))
+    assert [x[0] for x in model.infer(["\U0001f600\U0001f680 \U0001f600", "1 \U0001f600"])] == ["und", "und"]
+    assert all(x[0] != "und" for x in model.infer(["\U00010330\U00010331", "\U0001d518 \U0001f600"]))
+
+
+def test_language_em_like_plain_loops():
+    """The proportions are those of textbook expectation-maximisation, one word after another."""
+    r = np.random.default_rng(2)
+    counts = np.array([7, 1, 12])
+    like = r.random((20, 3)) ** 4
+    allowed = np.array([[1, 1, 1], [1, 0, 1], [0, 1, 1]], float)
+    got, ll = language._em(like, counts, allowed)
+    for d in range(3):
+        words = like[counts[:d].sum() : counts[: d + 1].sum()]
+        pi = [a / allowed[d].sum() for a in allowed[d]]
+        for _ in range(language.ROUNDS):
+            new = [0.0, 0.0, 0.0]
+            for w in words:
+                total = sum(p * x for p, x in zip(pi, w))
+                for k in range(3):
+                    new[k] += pi[k] * w[k] / total
+            pi = [x / len(words) for x in new]
+        assert got[d] == pytest.approx(pi)
+        assert ll[d] == pytest.approx(sum(np.log(sum(p * x for p, x in zip(pi, w))) for w in words))
+
+
 # ---------------------------------------------------------------- mixing
 
 def test_mixing(spark, data, texts):
@@ -172,6 +213,24 @@ def test_mixing_many_levels(spark):
         assert abs(sum(r["copies"] * r["size"] for r in own) - own[0]["target"]) < 0.01 * own[0]["target"] + 97
 
 
+def test_mixing_columns_and_repeats(spark):
+    """The contract's columns come first, names of the input don't matter, and rows that repeat are spread."""
+    rows = [(7, "a b c", None, "s")] * 700 + [(i, f"x{i} y z", None, "t") for i in range(100, 400)]
+    d = docs(spark, rows)
+    got = mixing.mix(d)
+    assert got.columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
+    taken = got.collect()
+    assert len(taken) == 1000 and all(r["taken"] <= 3 * r["size"] for r in taken)
+    for s, n in (("s", 2100), ("t", 900)):
+        own = [r for r in taken if r["source"] == s]
+        assert own[0]["source_size"] == n and abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 3
+    odd_names = d.selectExpr("doc_id", "text", "source", "h AS _row", "fp AS _copies", "row AS _Copy", "key AS row_")
+    mixed = mixing.repeat_to_mix(odd_names)
+    assert mixed.columns == odd_names.columns and mixed.count() * 3 == sum(r["taken"] for r in taken)
+    double = d.select("*", d["h"].alias("fp"))  # a name that stands twice
+    assert mixing.repeat_to_mix(double).columns == double.columns
+
+
 def test_mixing_odd(odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD) and all(r["taken"] <= 3 * r["size"] for r in rows)
@@ -342,6 +401,7 @@ def test_near_dedup_odd(odd, none):
     got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["keep_id"], r["group_size"]) for r in near_dedup.near_dedup(odd).collect()))
     assert [(i, k, n) for _, i, k, n in got] == [(1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 4, 3), (5, 4, 3), (5, 4, 3), (7, 7, 1), (8, 8, 1), (0, None, 1)]
     assert near_dedup.near_dedup(none).count() == 0
+    assert near_dedup.near_dedup(odd).where("kept").count() == 7
     assert near_dedup.drop_near_duplicates(odd).count() == 7
 
 
@@ -372,12 +432,39 @@ def test_matching_keeps_both_sides_of_an_insertion():
     runs = lambda x: passages.shingles(x, np.array([0, len(x)]), 5)[0]
     a, b = runs(w[:160]), runs(np.concatenate([w[:80], w[200:240], w[80:160]]))
     got = np.zeros(len(a), bool)
-    for lo, hi, lo_b, hi_b, j in passages.matching(a, b):
-        assert j == passages._jaccard(a[lo:hi], b[lo_b:hi_b]) >= 0.8
+    for lo, hi, lo_b, hi_b, j in _matching.matching(a, b, 46, 0.8):
+        assert j == _matching.jaccard(a[lo:hi], b[lo_b:hi_b]) >= 0.8
         got[lo:hi] = True
     assert got[:76].all() and got[80:].all()
 
 
+def test_verified_spans_have_their_similarity():
+    """Also where values repeat; where few do, hardly any stretch of 46 that reaches the threshold is outside the spans."""
+    r = np.random.default_rng(0)
+    missing = all_ = 0
+    for letters in [40, 300, 100_000] * 20:
+        base = r.integers(0, letters, 160).astype(np.uint32)
+        b = base.copy()
+        b[r.random(160) < 0.05] = 1 << 30
+        a = np.concatenate([r.integers(1 << 20, 1 << 29, 30).astype(np.uint32), base, base[:60]])
+        found = _matching.both_ways(_matching.Sequence(a), _matching.Sequence(b), 46, 0.8)
+        for lo, hi, lo_b, hi_b, j in found:
+            assert j == pytest.approx(_matching.jaccard(a[lo:hi], b[lo_b:hi_b])) and j >= 0.8 and hi_b - lo_b >= 36
+        inside = np.zeros(len(a), bool)
+        for lo, hi, *_ in found:
+            inside[lo:hi] = True
+        for k in range(115):
+            if letters > 40 and _matching.jaccard(a[30 + k : 76 + k], b[k : k + 46]) >= 0.8:
+                all_ += 46
+                missing += int((~inside[30 + k : 76 + k]).sum())
+    assert missing <= 0.01 * all_
+    line = r.integers(0, 1 << 31, 12).astype(np.uint32)
+    other = lambda n: r.integers(0, 1 << 31, n).astype(np.uint32)
+    two = _matching.Sequence(np.concatenate([other(30), np.tile(line, 20)])), _matching.Sequence(np.concatenate([np.tile(line, 9), other(30)]))
+    assert any(hi - lo >= 46 and hi_b - lo_b >= 46 for lo, hi, lo_b, hi_b, _ in _matching.both_ways(*two, 46, 0.8))
+    assert not _matching.both_ways(two[0], _matching.Sequence(np.concatenate([other(60), line, other(60)])), 46, 0.8)
+
+
 def test_compact_windows_like_brute_force():
     r = np.random.default_rng(5)
     h = r.integers(0, 40, 300).astype(np.uint64)
@@ -538,6 +625,18 @@ def test_toxicity_of_group_names(spark):
     assert fair.scores(["w1 grobian w2 scheusal"])[0] > 0.7
 
 
+def test_swaps_take_every_word():
+    """Letters that only case folding makes a term's stay; every other member of a class is reached."""
+    assert toxicity.swapped("boyſ gırls chrİstian and Boys") == "boyſ gırls chrİstian and mothers"
+    for c in toxicity.IDENTITY:
+        assert {toxicity.swapped(c[0], k) for k in range(len(c) - 1)} == set(c[1:])
+
+
+def test_toxicity_of_folded_terms(spark):
+    d = spark.createDataFrame([(i, i % 2, "boyſ gırls chrİstian grob" if i % 2 else "boys are here") for i in range(12)], "doc_id long, toxic long, text string")
+    assert 0 <= toxicity.fit(d).scores(["boyſ"])[0] <= 1
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (5, 0), (5, None), (None, 1)], "doc_id long, toxic int")
     for model in (toxicity.learn(odd, labels), toxicity.learn(none, labels)):
@@ -561,6 +660,27 @@ def test_html_page():
     assert html_text.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_names_that_only_resemble_boilerplate():
+    body = "<article><h1>Title</h1><p>The article's own text, with several words in it.</p></article>"
+    want = "Title\nThe article's own text, with several words in it."
+    for wrapper in ('div class="layout has-sidebar"', 'div class="sidebar"', "form", 'div role="banner"'):
+        assert html_text.main_text(f"<body><{wrapper}>{body}</{wrapper.split()[0]}><div class='sidebar'>x</div></body>") == want
+    assert html_text.main_text("<article><p>a</p><section class='share-price'>b</section><section id=related-work>c</section><div class='related-posts'>d</div><div id=cookie_notice>e</div></article>") == "a\nb\nc"
+    assert html_text.main_text("<body><form><p>All of the text is in here.</p><input></form><nav>menu</nav></body>") == "All of the text is in here."
+    assert html_text.main_text("<body><p>All of the text is in here, and more.</p><form>send</form><div class=comments>me too</div></body>") == "All of the text is in here, and more."
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    """Also with clashing columns, a null host and a very long page."""
+    page = "<body><div>Brand</div><p>The whole text of the page.</p></body>"
+    long = "<body>" + "<p>long words here</p>" * 60_000 + "</body>"
+    rows = [(1, "http://a.org/1", page)] * 7 + [(2, None, page)] * 6 + [(3, "http://a.org/3", long), (None, "http://a.org/4", None)]
+    d = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], "page_id long, url string, html string, host string, template string, n long")
+    got = html_text.extract(d).collect()
+    assert len(got) == len(rows) and {r["text"] for r in got if r["page_id"] in (1, 2)} == {"Brand\nThe whole text of the page."}
+    assert next(r["n_chars"] for r in got if r["page_id"] == 3) == 16 * 60_000 - 1
+
+
 def test_site_template(spark):
     page = lambda i: f"<body><div><span>Brand</span><a href=/>all</a></div><p>Text {i} of the page.</p><p>Shared quote.</p><div>Bottom line</div></body>"
     rows = [(i, f"http://a.org/{i}", page(i)) for i in range(8)] + [(20, "http://b.org/1", page(20)), (21, None, None)]
