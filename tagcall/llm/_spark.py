@@ -67,3 +67,9 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
 def crc_mod(column: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % mod, F.lit(0))
+
+
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """Names that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    return [c for c in (f"own_{i}" for i in range(len(taken) + n)) if c not in taken][:n]

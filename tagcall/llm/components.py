@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ._spark import saved
 
 
-def components(edges: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b); the label is the component's smallest node.
-    ``rows``: how many edges there are at most, both ways, if known.
 
     Each round a node takes the smallest label around it, then its label's label, so long chains
     shrink to half; every round is a written table.  An edge table without rows has no nodes.
     """
-    both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges", rows)
+    edges = edges.where("a <> b")
+    both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges", 2 * edges.count())
     n = both.count()
     labels = saved(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")), f"{name}-labels", n)
     step = 0

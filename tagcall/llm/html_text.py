@@ -1,15 +1,17 @@
 """Main text of web pages by site template removal.
 
-Every element's subtree is hashed (tag, class, text, children).  Spark counts the pages of each
+Every element's subtree is hashed (tag, class, text, children).  Spark counts the different pages of each
 host that hold a hash; a hash on ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages or more
 is part of the site's template, and its subtrees are deleted.  Inside an article only lists and
 containers that are mostly links can be template, so prose that many pages quote stays.  Elements
-that say what they are (navigation, forms, adverts, comments and so on) go as well.  What is left
-of the articles, else of ``main``, else of the page, is the text.
+that say what they are (navigation, forms, adverts, comments and so on) go as well, unless they hold
+an article or ``main`` or, on a page with neither, most of its text.  What is left of the articles, else
+of ``main``, else of the page, is the text.  A ``header`` outside of both is the site's, and goes.
 
 Null html counts as empty and gives an empty text; a null or odd URL belongs to the host with the
-empty name.  Rows that repeat an id are pages of their own; an empty table gives an empty result.
-Unclosed and cut-off markup is read as far as it goes.
+empty name.  Rows that repeat an id are pages of their own, but copies of one page count once for its
+host's template; an empty table gives an empty result.  Unclosed and cut-off markup is read as far as it
+goes.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -47,11 +49,14 @@ _BARRIER = frozenset("table td th caption html template object".split())
 _DROP = frozenset("head script style noscript template nav footer aside form button select textarea input iframe object embed svg canvas dialog menu title noembed noframes audio video map".split())
 _ROLE = re.compile(r"""\brole\s*=\s*["']?(?:navigation|banner|contentinfo|complementary|search|dialog|alert|menu)\b""", re.I)
 _NAMED = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: A class or id is one of these when all its parts (between - and _) are names, or names and neutral words.
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|footer|site-header|page-header|masthead|topbar|"
-    r"cookies?|consent|gdpr|notice|notices|banner|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|pagination|pager|skip-link)(?=$|[\s_-])",
+    r"(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|topbar|"
+    r"cookies?|consent|gdpr|notice|notices|banner|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|pagination|pager)",
     re.I,
 )
+_NEUTRAL = frozenset("site page main top bottom left right side bar box block section wrapper wrap container widget list area links link buttons button icons posts articles stories items form inner outer global primary secondary header skip reader user slot unit panel module group text".split())
+_PAIRS = frozenset(["side-bar", "site-header", "page-header", "skip-link"])
 _HIDDEN = re.compile(r"""\shidden(?=[\s>/=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<([/]?)([A-Za-z][^\s/>]*)((?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+))>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^<]*\Z""", re.S)
 _SPACE = re.compile(r"\s+")
@@ -61,10 +66,10 @@ _LINKS, _PROSE = frozenset(["a"]), frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre
 class Node:
     """An element: tag, attributes as written, children (text or nodes), and what hashing found."""
 
-    __slots__ = ("attrs", "chars", "children", "digest", "in_links", "tag")
+    __slots__ = ("attrs", "chars", "children", "digest", "in_links", "tag", "whole")
 
     def __init__(self, tag: str, attrs: str):
-        self.tag, self.attrs, self.children, self.digest, self.chars, self.in_links = tag, attrs, [], b"", 0, 0
+        self.tag, self.attrs, self.children, self.digest, self.chars, self.in_links, self.whole = tag, attrs, [], b"", 0, 0, False
 
 
 def parse(html: str) -> Node:
@@ -134,19 +139,53 @@ def parse(html: str) -> Node:
     return root
 
 
+def named(token: str) -> bool:
+    """Does a class or id say that its element is not main text?"""
+    low = token.lower()
+    parts = [x for x in re.split(r"[-_]+", low) if x]
+    known = [bool(_NAMES.fullmatch(x)) for x in parts]
+    return low in _PAIRS or any(known) and all(k or x in _NEUTRAL for k, x in zip(known, parts, strict=True))
+
+
 def dropped(node: Node, in_article: bool) -> bool:
-    """Does the element say itself that it is not main text?"""
+    """Does the element say itself that it is not main text?  One that holds the page's main text does not."""
+    if node.whole:
+        return node.tag in _DROP and node.tag != "form"
     if node.tag in _DROP or node.tag == "header" and not in_article:
         return True
     if not node.attrs:
         return False
     if node.tag not in ("body", "html", "main", "article"):
         for m in _NAMED.finditer(node.attrs):
-            if _NAMES.search(m[1] or m[2] or m[3] or ""):
+            if any(map(named, (m[1] or m[2] or m[3] or "").split())):
                 return True
     return bool(_ROLE.search(node.attrs) or _HIDDEN.search(node.attrs))
 
 
+def find_wholes(root: Node) -> None:
+    """Mark elements that hold an article or ``main``; on a page with neither, those with most text, links apart."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in node.children if isinstance(c, Node)]
+    chars: dict[int, list[int]] = {}
+    for node in reversed(order):
+        own = [0, 0]
+        for c in node.children:
+            if not isinstance(c, Node):
+                own[0] += len(c) - c.count(" ") - c.count("\n")
+            elif c.tag not in ("script", "style", "noscript", "template", "head"):
+                own[0] += chars[id(c)][0]
+                own[1] += chars[id(c)][1]
+                node.whole |= c.whole or c.tag in ("article", "main")
+        chars[id(node)] = [own[0], own[0]] if node.tag in _LINKS else own
+    if not root.whole and (total := chars[id(root)][0]):
+        for node in order:
+            n, links = chars[id(node)]
+            node.whole = 2 * n > total and 2 * links <= n
+
+
 def digest(root: Node) -> None:
     """Hash every subtree, children first."""
     order, todo = [], [root]
@@ -191,6 +230,7 @@ def key_of(node: Node) -> int:
 def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
     """The page's text without elements of the template and those that say what they are."""
     root = parse(html or "")
+    find_wholes(root)
     gone: set[int] = set()
     if template:
         digest(root)
@@ -249,7 +289,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, keys, whole = [], [], []
+            hosts, keys, whole, pages_ = [], [], [], []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 root = parse(html.as_py() or "")
                 digest(root)
@@ -257,9 +297,11 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
                 hosts += [host] * (len(own) + 1)
                 keys += [0, *own]
                 whole += [True] + [False] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(whole, pa.bool_())], ["host", "key", "whole"])
+                pages_ += [key_of(root)] * (len(own) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(whole, pa.bool_()), pa.array(pages_, pa.int64())], ["host", "key", "whole", "page"])
 
-    counts = saved(pages.select("host", "html").mapInArrow(run, "host string, key long, whole boolean").groupBy("host", "key", "whole").agg(F.count("*").alias("n")).where((F.col("n") >= min_pages) | F.col("whole")), "html-counts")
+    seen = pages.select("host", "html").mapInArrow(run, "host string, key long, whole boolean, page long").distinct()
+    counts = saved(seen.groupBy("host", "key", "whole").agg(F.count("*").alias("n")).where((F.col("n") >= min_pages) | F.col("whole")), "html-counts")
     totals = counts.where("whole").select("host", F.col("n").alias("pages"))
     often = counts.where("NOT whole").join(totals, "host").where((F.col("n") >= min_pages) & (F.col("n") >= min_share * F.col("pages")))
     return saved(often.groupBy("host").agg(F.collect_list("key").alias("template")), "html-templates")

@@ -29,8 +29,7 @@ ROUNDS = 8
 #: Languages whose counts a training task holds before it hands them on.
 HELD = 64
 
-_LETTER = np.zeros(0x10000, bool)
-_LETTER[[i for i in range(0x10000) if chr(i).isalpha()]] = True
+LETTER = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,7 +42,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     c = np.frombuffer(("  " + "   ".join(low) + "   ").encode("utf-32-le", "surrogatepass"), np.uint32)
     # text i lies between blanks at begins[i] .. begins[i + 1]
     begins = np.concatenate([[0], np.cumsum(sizes)])
-    letter = _LETTER[np.minimum(c, 0xFFFF)] | (c > 0xFFFF)
+    letter = LETTER[c]
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # one blank after each word
     at = np.flatnonzero(keep)

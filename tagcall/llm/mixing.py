@@ -7,8 +7,8 @@ rest of its source at the next level of a reduction tree.  The sum of the probab
 exact, and as neighbours in a block are of like size, so nearly does the sum of words.
 
 Null text: size 0.  Null source: a source of its own, after the others.  A source without words
-has target 0.  Rows that repeat an id are rounded as rows of their own.  An empty table gives an
-empty result.  Other columns are not read by ``mix``.
+has target 0.  Rows that repeat id and text are rounded as rows of their own.  An empty table gives an
+empty result.  Other columns are not read by ``mix``, and ``repeat_to_mix`` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import saved, table
+from ._spark import free_names, saved, small, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3.0
@@ -94,11 +94,12 @@ def copies(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
     level, most = 0, None
     while True:
         counts = classes.groupBy("source_key", "size_class").agg(F.count("*").alias("in_class"))
+        counts = saved(counts, f"mix-counts-{level}")
         if level:
-            counts = saved(counts, f"mix-counts-{level}")
             most = counts.agg(F.max("in_class")).first()[0] or 0
         slots = F.ceil(F.col("in_class") / block)
-        dealt = classes.join(counts, ["source_key", "size_class"]).withColumn("slot", F.pmod(F.xxhash64(F.lit(seed + level), "row"), slots))
+        # counts are joined by broadcast, so a hot source's rows meet only once they are dealt to slots
+        dealt = classes.join(small(counts, 40), ["source_key", "size_class"]).withColumn("slot", F.pmod(F.xxhash64(F.lit(seed + level), "row"), slots))
         unit = F.struct("size", "doc_id", "row", "p")
         order = F.array_sort(F.collect_list(unit), lambda a, b: F.when(a["size"] != b["size"], F.when(a["size"] > b["size"], -1).otherwise(1)).when(a["row"] < b["row"], -1).when(a["row"] > b["row"], 1).otherwise(0))
         blocks = dealt.groupBy("source_key", "size_class", "slot").agg(order.alias("units"), *(F.first(c).alias(c) for c in keep if c != "source_key"))
@@ -123,12 +124,27 @@ def words_in(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, row, of, source, size): ``of`` are 128 bits of id and text, ``row`` numbers the rows that repeat them."""
+    of = _identity(docs, id_col, text_col)
+    sized = saved(docs.select(F.col(id_col).alias("doc_id"), of.alias("of"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")), "mix-rows")
+    again = saved(sized.groupBy("of").agg(F.count("*").alias("rows")).where("rows > 1").select("of"), "mix-repeated")
+    if not again.limit(1).count():
+        return sized.withColumn("row", F.struct("of", F.lit(1).alias("nth")))
+    again = small(again, 48)
+    nth = F.row_number().over(Window.partitionBy("of").orderBy("of"))
+    rows = sized.join(again, "of", "left_anti").withColumn("nth", F.lit(1)).unionByName(sized.join(again, "of", "left_semi").withColumn("nth", nth))
+    return rows.withColumn("row", F.struct("of", "nth")).drop("nth")
+
+
+def _identity(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    return F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("x"), F.xxhash64(F.lit(1), F.col(text_col), F.lit(2), F.col(id_col)).alias("y"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
-    """One row for each document: id, source, size, source_size, target, copies, taken words."""
-    row = F.xxhash64(F.col(id_col), F.col(text_col))
-    sized = docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"))
-    out = copies(sized, seed)
-    return out.select(F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    """One row for each document: id, size, source_size, target, taken words, source, copies."""
+    out = copies(_sized(docs, id_col, text_col, source_col), seed)
+    return out.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
 def repeat_to_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
@@ -136,14 +152,15 @@ def repeat_to_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows with the same id and text are one row here that is taken as often as all of them.
     """
-    row = F.xxhash64(F.col(id_col), F.col(text_col))
-    sized = docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"))
-    taken = saved(copies(sized, seed).groupBy("row").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "mix-taken")
-    plain = docs.join(taken.where("rows = 1 AND copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies")), row == F.col("_row"))
-    again = taken.where("rows > 1 AND copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies"))
+    of, n = free_names(docs, 2)
+    taken = copies(_sized(docs, id_col, text_col, source_col), seed).groupBy(F.col("row.of").alias(of))
+    taken = saved(taken.agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "mix-taken").where("copies > 0")
+    named = docs.withColumn(of, _identity(docs, id_col, text_col))
+    out = named.join(taken.where("rows = 1").select(of, F.col("copies").alias(n)), of)
+    again = taken.where("rows > 1").select(of, F.col("copies").alias(n))
     if again.limit(1).count():
-        plain = plain.union(docs.join(again, row == F.col("_row")).dropDuplicates(["_row"]))
-    return plain.select(*(plain[c] for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")
+        out = out.union(named.join(again, of).dropDuplicates([of]))
+    return out.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).drop(of, n)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,8 @@ large buckets those that an exact bound on sketches leaves.  So every pair that
 one class or was verified.  There is no cap on buckets or partners.
 
 Texts without words (null, empty, blanks) are classes of their own; texts of 1 to 4 words are one
-shingle.  The smallest id of a class stays (null ids come last).  Rows that repeat an id are rows
-of their own; an empty table gives an empty result.
+shingle.  The smallest id of a class stays (null ids come last), of rows that repeat it one.  Rows that
+repeat an id are rows of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -232,20 +232,21 @@ def near_labels(signed: DataFrame, texts: DataFrame, similarity: float = SIMILAR
     nodes = saved(nodes.select("fp", "of.doc_id", "of.th", "bands"), "near-nodes", signed.count())
     n = nodes.count()
     members = nodes.select("fp", F.posexplode("bands").alias("band", "key")).select("fp", "band", F.xxhash64("band", "key").alias("key"))
-    sizes = saved(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets", n)
-    members = whole = saved(members.join(sizes, "key"), "near-members", 2 * n)
+    sizes = saved(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets", BANDS * n)
+    members = whole = saved(members.join(sizes, "key"), "near-members", BANDS * n)
+    n_whole = whole.count()
     # A large bucket holds near copies, or texts that share one heavy shingle: a second band tells them apart.
     large = members.where(F.col("n") > LARGE).join(nodes.select("fp", "bands"), "fp")
     second = F.array(*(F.struct(F.lit(i).alias("i"), F.col("bands")[i].alias("v")) for i in range(BANDS)))
     split = large.select("fp", "band", "key", F.explode(second).alias("o")).where((F.pmod(F.col("o.i") - F.col("band"), F.lit(BANDS)) >= 1) & (F.pmod(F.col("o.i") - F.col("band"), F.lit(BANDS)) <= SECOND))
-    split = saved(split.select(F.xxhash64("key", "o.i", "o.v").alias("key"), "fp"), "near-split", 8 * n)
-    split_sizes = saved(split.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-split-buckets", n)
-    members = saved(members.where(F.col("n") <= LARGE).select("key", "fp", "n").union(split.join(split_sizes, "key").select("key", "fp", "n")), "near-candidates", 2 * n)
-    central = saved(members.groupBy("fp").agg(F.sum("n").alias("weight")), "near-central", n)
-    members = saved(members.select("key", "fp").join(central, "fp"), "near-open", 2 * n)
+    split = saved(split.select(F.xxhash64("key", "o.i", "o.v").alias("key"), "fp"), "near-split", SECOND * n_whole)
+    split_sizes = saved(split.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-split-buckets", split.count())
+    members = saved(members.where(F.col("n") <= LARGE).select("key", "fp", "n").union(split.join(split_sizes, "key").select("key", "fp", "n")), "near-candidates", n_whole + split.count())
+    central = saved(members.groupBy("fp").agg(F.sum("n").alias("weight")), "near-central", members.count())
+    members = saved(members.select("key", "fp").join(central, "fp"), "near-open", members.count())
 
     wanted = nodes.join(whole.select("fp").distinct(), "fp").select("fp", "doc_id", "th")
-    wanted = saved(wanted.withColumnRenamed("doc_id", "of_id"), "near-wanted", n)
+    wanted = saved(wanted.withColumnRenamed("doc_id", "of_id"), "near-wanted", n_whole + n)
     found = texts.join(small(wanted, 64), "th").where(F.col("doc_id").eqNullSafe(F.col("of_id"))).select("fp", "text")
     grams = saved(_sets(found).dropDuplicates(["fp"]), "near-sets")
 
@@ -260,8 +261,9 @@ def near_labels(signed: DataFrame, texts: DataFrame, similarity: float = SIMILAR
         lead = members.groupBy("key", F.pmod(F.xxhash64("fp", F.lit(round_)), F.lit(slots)).alias("slot")).agg(F.count("*").alias("n"), F.max(F.struct("weight", "fp")).alias("lead"))
         lead = lead.select("key", F.col("lead.fp").alias("b"), F.sum("n").over(Window.partitionBy("key")).alias("n"))  # as many rows as slots
         lead = saved(lead.where("n > 1").select("key", "b"), "near-leaders", m)
-        led = saved(members.join(lead, "key").where("fp <> b"), "near-led", slots * m)
-        pairs = saved(led.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct(), "near-pairs", slots * m)
+        led = saved(members.join(lead, "key").where("fp <> b"), "near-led", m)
+        n_led = led.count()
+        pairs = saved(led.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct(), "near-pairs", n_led)
         if not pairs.limit(1).count():
             break
         judged = judge(pairs)
@@ -270,16 +272,16 @@ def near_labels(signed: DataFrame, texts: DataFrame, similarity: float = SIMILAR
         linked = good.select(F.col("a").alias("lo"), F.col("b").alias("hi"), F.lit(1).alias("ok"))
         tried = led.join(linked, (F.least("fp", "b") == F.col("lo")) & (F.greatest("fp", "b") == F.col("hi")), "left").groupBy("key", "fp").agg(F.max("weight").alias("weight"), F.max("ok").alias("ok"))
         # leaders have met every member, so they leave, as do those that a leader took
-        members = saved(tried.where("ok IS NULL").join(lead.select("key", F.col("b").alias("fp")), ["key", "fp"], "left_anti").select("key", "fp", "weight"), "near-open", m)
+        members = saved(tried.where("ok IS NULL").join(lead.select("key", F.col("b").alias("fp")), ["key", "fp"], "left_anti").select("key", "fp", "weight"), "near-open", n_led)
 
     # The rounds left pairs out, of nodes already taken and of large buckets: all those of different classes.
     open_ = whole.where("n > 2").select("key", "n", "fp")  # two nodes have met
     sketches = None
     for most in (FIRST, None):
-        label = components(tried_pairs.where(F.col("similarity") >= similarity), "near", 4 * n)
-        placed = saved(open_.join(label, open_["fp"] == label["node"], "left").select("key", "n", "fp", F.coalesce("label", "fp").alias("label")), "near-placed", 2 * n)
-        mixed = saved(placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "near-mixed", n)
-        placed = saved(placed.join(mixed, "key"), "near-across", 2 * n)
+        label = components(tried_pairs.where(F.col("similarity") >= similarity), "near")
+        placed = saved(open_.join(label, open_["fp"] == label["node"], "left").select("key", "n", "fp", F.coalesce("label", "fp").alias("label")), "near-placed", n_whole)
+        mixed = saved(placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "near-mixed", n_whole)
+        placed = saved(placed.join(mixed, "key"), "near-across", n_whole)
         if not placed.limit(1).count():
             return label
         large = placed.where(F.col("n") > LARGE)
@@ -297,46 +299,45 @@ def near_labels(signed: DataFrame, texts: DataFrame, similarity: float = SIMILAR
         found = judged.where(F.col("similarity") >= similarity).limit(1).count()
         if not left.where("more").limit(1).count():
             break
-    return components(tried_pairs.where(F.col("similarity") >= similarity), "near", 4 * n) if found else label
+    return components(tried_pairs.where(F.col("similarity") >= similarity), "near") if found else label
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each input row: doc_id, th (hash of the text), keep_id, keep_th, group_size.
+    """One row for each input row: doc_id, th (hash of the text), keep_id, group_size, kept.
 
-    Of a class the row with the smallest (id, th) stays.
+    Of a class the row with the smallest (id, th) stays, of rows that repeat both one.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("th"), docs[text_col].alias("text"))
-    signed = saved(_sign(rows), "near-signed")
+    signed = saved(_sign(rows).withColumn("row", F.monotonically_increasing_id()), "near-signed")
     label = near_labels(signed, rows, similarity)
-    rows_of = saved(signed.select("doc_id", "th", "fp"), "near-rows", signed.count())
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    n_rows = signed.count()
+    rows_of = signed.select("doc_id", "th", "fp", "row")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "row")
     by_node = rows_of.where("fp IS NOT NULL").groupBy("fp").agg(F.count("*").alias("n"), F.min(order).alias("low"))
-    by_node = saved(by_node.join(label, by_node["fp"] == label["node"], "left").select("fp", "n", "low", F.coalesce("label", "fp").alias("label")), "near-by-node", signed.count())
-    groups = saved(by_node.groupBy("label").agg(F.sum("n").alias("group_size"), F.min("low").alias("keep")), "near-groups", signed.count())
-    classes = saved(by_node.select("fp", "label").join(groups, "label").select("fp", "group_size", "keep"), "near-classes", signed.count())
+    by_node = saved(by_node.join(label, by_node["fp"] == label["node"], "left").select("fp", "n", "low", F.coalesce("label", "fp").alias("label")), "near-by-node", n_rows)
+    groups = saved(by_node.groupBy("label").agg(F.sum("n").alias("group_size"), F.min("low").alias("keep")), "near-groups", n_rows)
+    classes = saved(by_node.select("fp", "label").join(groups, "label").select("fp", "group_size", "keep"), "near-classes", n_rows)
     out = rows_of.join(classes, "fp", "left")
     own = F.col("group_size").isNull()
-    return out.select("doc_id", "th", F.when(own, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"), F.when(own, F.col("th")).otherwise(F.col("keep.th")).alias("keep_th"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"))
+    return out.select("doc_id", "th", F.when(own, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (own | (F.col("keep.row") == F.col("row"))).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row for each input row: id, keep_id (its class), group_size, kept."""
-    kept = F.col("keep_id").eqNullSafe(F.col("doc_id")) & (F.col("keep_th") == F.col("th"))
-    return near_classes(docs, id_col, text_col, similarity).select(F.col("doc_id").alias(id_col), "keep_id", "group_size", kept.alias("kept"))
+    return near_classes(docs, id_col, text_col, similarity).select(F.col("doc_id").alias(id_col), "keep_id", "group_size", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows, with all their columns, that stay: one of each class, of rows that repeat it one."""
     classes = saved(near_classes(docs, id_col, text_col, similarity), "near-decided")
-    kept = F.col("keep_id").eqNullSafe(F.col("doc_id")) & (F.col("keep_th") == F.col("th"))
-    gone = saved(classes.where(~kept).select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct(), "near-gone")
-    again = saved(classes.where(kept & (F.col("group_size") > 1)).groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("again_id"), F.col("th").alias("again_th")), "near-again")
-    th = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    out = docs.join(small(gone, 32), docs[id_col].cast("long").eqNullSafe(gone["gone_id"]) & (th == gone["gone_th"]), "left_anti")
-    if again.limit(1).count():
-        is_again = out[id_col].cast("long").eqNullSafe(again["again_id"]) & (F.xxhash64(F.coalesce(out[text_col], F.lit(""))) == again["again_th"])
-        out = out.join(small(again, 32), is_again, "left_anti").union(out.join(small(again, 32), is_again, "left_semi").dropDuplicates([id_col, text_col]))
-    return out
+    by_row = classes.where("group_size > 1").groupBy("doc_id", "th").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
+    by_row = saved(by_row.where("NOT kept OR rows > 1").select(F.col("doc_id").alias("of_id"), F.col("th").alias("of_th"), "kept"), "near-gone")
+    again = by_row.where("kept")
+    this = lambda df, side: df[id_col].cast("long").eqNullSafe(side["of_id"]) & (F.xxhash64(F.coalesce(df[text_col], F.lit(""))) == side["of_th"])
+    if not again.limit(1).count():
+        return docs.join(small(by_row, 32), this(docs, by_row), "left_anti")
+    out = docs.join(small(by_row, 32), this(docs, by_row), "left_anti")
+    return out.union(docs.join(small(again, 32), this(docs, again), "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ strongest distinct words, wherever they stand, so length does not dilute it.  A
 bound of its log-odds over all labelled training rows; then gradient descent on about ``SAMPLE``
 labelled rows at most fits bias, slopes and weights, where each row's own count is taken out of its
 weights, and the squared change of the logit when identity terms of its text are swapped for
-others of their group is added to the loss.  So a group's name keeps no weight of its own.
+others of their group (the text's hash says which) is added to the loss.  So a group's name keeps no weight of its own.
 
 Null or empty text, or one without letters: the score of no evidence.  Null ids count as not held
 out but have no label.  Several labels of one id: the highest.  Without both labels to learn from,
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._spark import crc_mod, saved, small, table
 from ._text import U, chunks, mix, powers
-from .language import _LETTER
+from .language import LETTER
 
 BUCKETS = 1 << 20
 PREFIXES = (3, 4, 5, 6)
@@ -51,13 +52,24 @@ IDENTITY = (
     ("deaf", "blind", "disabled", "elderly", "young", "old"),
     ("immigrants", "refugees", "locals", "citizens", "migranten", "flüchtlinge", "immigrés", "réfugiés", "inmigrantes", "refugiados"),
 )
-_NEXT = {w: c[(i + 1) % len(c)] for c in IDENTITY for i, w in enumerate(c)}
-_TERM = re.compile(r"\b(?:" + "|".join(sorted(_NEXT)) + r")\b", re.I)
+_CLASS = {w: c for c in IDENTITY for w in c}
+_TERM = re.compile(r"\b(?:" + "|".join(sorted(_CLASS)) + r")\b", re.I)
 
 
-def swapped(text: str) -> str:
-    """The text with every identity term replaced by the next of its class."""
-    return _TERM.sub(lambda m: _NEXT[m[0].lower()], text)
+def swapped(text: str, turn: int = 0) -> str:
+    """The text with every identity term replaced by another of its class; ``turn`` says which.
+
+    A word that only case folding beyond lower case makes a term stays as it is.
+    """
+
+    def other(m: re.Match) -> str:
+        word = m[0].lower()
+        if word not in _CLASS:
+            return m[0]
+        c = _CLASS[word]
+        return c[(c.index(word) + 1 + turn % (len(c) - 1)) % len(c)]
+
+    return _TERM.sub(other, text)
 
 
 def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +78,7 @@ def pieces(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter((len(t) + 1 for t in low), np.int64, len(low))
     c = np.frombuffer((" ".join(low) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     begins = np.concatenate([[0], np.cumsum(sizes)])
-    letter = _LETTER[np.minimum(c, 0xFFFF)] | (c > 0xFFFF)
+    letter = LETTER[c]
     edge = np.flatnonzero(np.diff(letter, prepend=False, append=False))
     start, size = edge[0::2], edge[1::2] - edge[0::2]
     off = np.searchsorted(start, begins)
@@ -170,7 +182,7 @@ def fit(rows: DataFrame, penalty: float = SWAP_PENALTY, sample: int = SAMPLE, ro
         for batch in batches:
             for part in chunks(zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True)):
                 toxic, texts = zip(*part, strict=True)
-                seen = [strongest(*pieces(x), held.value, TOP) for x in ([t or "" for t in texts], [swapped(t or "") for t in texts])]
+                seen = [strongest(*pieces(x), held.value, TOP) for x in ([t or "" for t in texts], [swapped(t or "", crc32((t or "").encode("utf-8", "surrogatepass"))) for t in texts])]
                 kind = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int64()), pa.array([x.tolist() for x in seen[0]], kind), pa.array([x.tolist() for x in seen[1]], kind)], ["toxic", "own", "swap"])
 
