@@ -146,13 +146,13 @@ _SELECTS = {
     "tag_freq": "SELECT DISTINCT tag16, " + ", ".join(f"(length(tag16) - length(replace(tag16, '{b}', '')))::BIGINT AS n_{b.lower()}" for b in "NATCG") + " FROM tags",
     "lev_lower_bound": "SELECT region, block_id, key_a, key_b, bound FROM pairs",
     "tag_edges": "SELECT region, block_id, key_a, key_b, dist FROM near",
-    "levenshtein": "SELECT region, block_id, key_a, key_b, levenshtein(tag_a, tag_b) AS dist, CASE WHEN levenshtein(tag_a, tag_b) <= 2 THEN levenshtein(tag_a, tag_b) ELSE -1 END AS dist2 FROM pairs WHERE region = 'chr1'",
+    "levenshtein": "SELECT region, block_id, key_a, key_b, levenshtein(tag_a, tag_b) AS dist, CASE WHEN levenshtein(tag_a, tag_b) <= 2 THEN levenshtein(tag_a, tag_b) ELSE -1 END AS dist2 FROM pairs",
     "tag_components": "SELECT region, block_id, tag_key, allele_key FROM clusters",
     "allele_tags": "SELECT region, block_id, allele_key, count(*) AS n_tags, sum(n_reads)::BIGINT AS n_reads FROM clusters GROUP BY ALL",
     "allele_having": "SELECT region, block_id, allele_key, n_reads, max_depth FROM alleles",
     "blocks_after": "SELECT DISTINCT region, block_id FROM alleles",
     "stats_cluster": "SELECT (SELECT count(*) FROM pairs) AS leven_total, (SELECT count(*) FROM pairs WHERE bound <= 2) AS leven_complete, (SELECT count(*) FROM tags) AS tags_before, (SELECT sum(n_reads)::BIGINT FROM tags) AS reads_before, count(*) AS alleles_after, sum(n_reads)::BIGINT AS reads_after, count(DISTINCT (region, block_id)) AS blocks_after FROM alleles",
-    "hamming": "SELECT region, block_id, key_a, key_b, hamming(tag_a, tag_b) AS dist FROM pairs WHERE region = 'chr1'",
+    "hamming": "SELECT region, block_id, key_a, key_b, hamming(tag_a, tag_b) AS dist FROM pairs",
     "cluster_size_hist": "SELECT size, count(*) AS n FROM (SELECT region, block_id, allele_key, sum(n_reads)::BIGINT AS size FROM clusters GROUP BY ALL) GROUP BY size",
     "allele_ids": "SELECT region, block_id, allele_key, allele_id, start, \"end\" FROM alleles",
     "allele_coverage": "SELECT region, block_id, allele_id, pos, cov FROM votes",

@@ -234,7 +234,7 @@ def tag_edges(c: Caller) -> DataFrame:
 
 @query
 def levenshtein(c: Caller) -> DataFrame:
-    d = cluster.tag_pairs(c.tags.where("region = 'chr1'"))
+    d = cluster.tag_pairs(c.tags)
     return d.select(*cluster.BLOCK, "key_a", "key_b", F.levenshtein("tag_a", "tag_b").alias("dist"), F.levenshtein("tag_a", "tag_b", 2).alias("dist2"))
 
 
@@ -265,7 +265,7 @@ def stats_cluster(c: Caller) -> DataFrame:
 
 @query
 def hamming(c: Caller) -> DataFrame:
-    d = cluster.tag_pairs(c.tags.where("region = 'chr1'"))
+    d = cluster.tag_pairs(c.tags)
     return d.select(*cluster.BLOCK, "key_a", "key_b", x.hamming(F.col("tag_a"), F.col("tag_b")).alias("dist"))
 
 
