@@ -36,12 +36,18 @@ def with_blocks(reads: DataFrame) -> DataFrame:
     return reads.join(islands(reads), ["region", "start"])
 
 
-def depth(reads: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, start, end, length, n_reads, max_depth) by a sweep line over read ends."""
+def depth(reads: DataFrame, keys: list[str], bin_width: int = BIN) -> DataFrame:
+    """(keys, start, end, length, n_reads, max_depth) by a sweep line over read ends.
+
+    The line runs inside bins; one row a bin, with its net change and its highest point, passes on.
+    """
     edges = reads.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("e"))
     steps = edges.groupBy(*keys, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"), F.sum(F.when(F.col("e.d") > 0, 1).otherwise(0)).alias("n"))
-    line = F.sum("d").over(Window.partitionBy(*keys).orderBy("at"))
-    out = steps.withColumn("depth", line).groupBy(*keys).agg(F.min("at").alias("start"), F.max("at").alias("end"), F.sum("n").alias("n_reads"), F.max("depth").alias("max_depth"))
+    steps = steps.withColumn("bin", F.floor(F.col("at") / bin_width))
+    line = F.sum("d").over(Window.partitionBy(*keys, "bin").orderBy("at"))
+    bins = steps.withColumn("depth", line).groupBy(*keys, "bin").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.sum("n").alias("n_reads"), F.max("depth").alias("top"), F.sum("d").alias("net"))
+    before = F.coalesce(F.sum("net").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = bins.withColumn("depth", F.col("top") + before).groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_reads").alias("n_reads"), F.max("depth").alias("max_depth"))
     return out.select(*keys, "start", "end", (F.col("end") - F.col("start")).alias("length"), "n_reads", "max_depth")
 
 

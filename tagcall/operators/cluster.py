@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as x
+from ..tables import saved
 from .blocks import depth, valid
 
 BLOCK = ["region", "block_id"]
+#: Tags of a block up to which all its pairs are fewer rows than its shortened tags.
+FEW = 64
+#: Letters taken out of tags, at most; 560 strings a tag for 3.
+MOST_SHORTENED = 3
+#: Edges of a block that one task joins to components; blocks of more spread their labels in rounds.
+TASK_EDGES = 1 << 20
+_LABELS = "region string, block_id long, tag_key string, label string"
 
 
 def tag_groups(reads: DataFrame) -> DataFrame:
@@ -17,20 +25,59 @@ def tag_groups(reads: DataFrame) -> DataFrame:
     return reads.groupBy(*BLOCK, "tag_key").agg(F.first("tag16").alias("tag16"), F.count("*").alias("n_reads"))
 
 
+def _met(tags: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs of tags (a before b) that agree on some columns."""
+    a, b = (tags.select(*on, F.col("tag_key").alias(f"key_{s}"), F.col("tag16").alias(f"tag_{s}")) for s in "ab")
+    return a.join(b, on).where(F.col("key_a") < F.col("key_b")).select(*BLOCK, "key_a", "key_b", "tag_a", "tag_b")
+
+
 def tag_pairs(tags: DataFrame) -> DataFrame:
-    """Pairs of a block's tags (a before b) with the lower bound of their distance."""
-    a = tags.select(*BLOCK, F.col("tag_key").alias("key_a"), F.col("tag16").alias("tag_a"))
-    b = tags.select(*BLOCK, F.col("tag_key").alias("key_b"), F.col("tag16").alias("tag_b"))
-    return a.join(b, BLOCK).where(F.col("key_a") < F.col("key_b")).withColumn("bound", x.lower_bound(F.col("tag_a"), F.col("tag_b")))
+    """All pairs of a block's tags with the lower bound of their distance; for looking at, calling has no need of it."""
+    return _met(tags, BLOCK).withColumn("bound", x.lower_bound(F.col("tag_a"), F.col("tag_b")))
+
+
+def shortened(tag: Column, letters: int) -> Column:
+    """Array of the distinct strings that a tag without so many of its letters can be."""
+    out = F.array(tag)
+    for left in range(x.TAG_WIDTH, x.TAG_WIDTH - letters, -1):
+        without = lambda s, left=left: F.transform(F.sequence(F.lit(1), F.lit(left)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.lit(left))))
+        out = F.array_distinct(F.flatten(F.transform(out, without)))
+    return out
 
 
 def tag_edges(tags: DataFrame, distance: int) -> DataFrame:
-    """Pairs within ``distance``; an equi-join on the block whose residual tests the bound first."""
-    a = tags.select(*BLOCK, F.col("tag_key").alias("key_a"), F.col("tag16").alias("tag_a")).alias("a")
-    b = tags.select(*BLOCK, F.col("tag_key").alias("key_b"), F.col("tag16").alias("tag_b")).alias("b")
-    near = (F.col("a.region") == F.col("b.region")) & (F.col("a.block_id") == F.col("b.block_id")) & (F.col("key_a") < F.col("key_b"))
-    near = near & (x.lower_bound(F.col("tag_a"), F.col("tag_b")) <= distance) & (F.levenshtein("tag_a", "tag_b", distance) >= 0)
-    return a.join(b, near).select("a.region", "a.block_id", "key_a", "key_b", "tag_a", "tag_b", F.levenshtein("tag_a", "tag_b").alias("dist"))
+    """Pairs within ``distance``.
+
+    Tags are of one length, so two within the distance agree after ``distance`` letters are taken out
+    of each.  Blocks of many tags are joined on what is left, and only near tags meet; blocks of few
+    on the block, which is less work there, as are distances above ``MOST_SHORTENED``.  Then the
+    bound is tested before the distance.
+    """
+    if distance > MOST_SHORTENED:
+        met = _met(tags, BLOCK)
+    else:
+        sizes = tags.groupBy(*BLOCK).agg((F.count("*") > FEW).alias("many"))
+        sized = saved(tags.select(*BLOCK, "tag_key", "tag16").join(sizes, BLOCK), "sized-tags")
+        many = sized.where("many").withColumn("rest", F.explode(shortened(F.col("tag16"), distance)))
+        met = _met(sized.where("NOT many"), BLOCK).unionByName(_met(many, [*BLOCK, "rest"]).distinct())
+    near = (x.lower_bound(F.col("tag_a"), F.col("tag_b")) <= distance) & (F.levenshtein("tag_a", "tag_b", distance) >= 0)
+    return met.where(near).select(*BLOCK, "key_a", "key_b", "tag_a", "tag_b", F.levenshtein("tag_a", "tag_b").alias("dist"))
+
+
+def pair_counts(tags: DataFrame, distance: int) -> DataFrame:
+    """One row (total, complete): pairs of tags of a block, and those whose bound is within ``distance``.
+
+    Counted without making the pairs: the bound depends on letter counts only, so classes of tags
+    with the same counts are paired, and a class of n holds n (n - 1) / 2 pairs of bound 0.
+    """
+    counts = [f"n_{b}" for b in "NATCG"]
+    classes = tags.groupBy(*BLOCK, *(x.count_letter(F.col("tag16"), b).alias(f"n_{b}") for b in "NATCG")).agg(F.count("*").alias("n"))
+    a, b = (classes.select(*BLOCK, F.struct(*counts).alias(f"c_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
+    bound = sum(F.abs(F.col(f"c_a.{c}") - F.col(f"c_b.{c}")) for c in counts) / 2
+    pairs = F.when(F.col("c_a") == F.col("c_b"), F.expr("n_a * (n_a - 1) div 2")).otherwise(F.col("n_a") * F.col("n_b"))
+    across = a.join(b, BLOCK).where((F.col("c_a") <= F.col("c_b")) & (F.floor(bound) <= distance)).agg(F.coalesce(F.sum(pairs), F.lit(0)).alias("complete"))
+    total = tags.groupBy(*BLOCK).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("total"))
+    return total.crossJoin(across)  # one row each
 
 
 def _components(edges: pd.DataFrame) -> pd.DataFrame:
@@ -51,13 +98,37 @@ def _components(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"region": edges["region"].iloc[0], "block_id": edges["block_id"].iloc[0], "tag_key": keys, "label": [root(k) for k in keys]})
 
 
+def spread_labels(edges: DataFrame) -> DataFrame:
+    """(region, block_id, tag_key, label): the smallest key of each component, without a task for a block.
+
+    Each round a tag takes the smallest label around it, then its label's label, so long chains
+    shrink to half; every round is a written table.
+    """
+    both = saved(edges.union(edges.select(*BLOCK, F.col("key_b"), F.col("key_a"))).toDF(*BLOCK, "tag_key", "beside"), "both-edges")
+    labels = saved(both.groupBy(*BLOCK, "tag_key").agg(F.least("tag_key", F.min("beside")).alias("label")), "labels")
+    while True:
+        near = both.join(labels.withColumnRenamed("tag_key", "beside"), [*BLOCK, "beside"]).groupBy(*BLOCK, "tag_key").agg(F.min("label").alias("low"))
+        new = saved(labels.join(near, [*BLOCK, "tag_key"]).select(*BLOCK, "tag_key", "label", F.least("label", "low").alias("new")), "new-labels")
+        further = new.select(*BLOCK, F.col("tag_key").alias("new"), F.col("new").alias("further"))
+        labels = saved(new.join(further, [*BLOCK, "new"]).select(*BLOCK, "tag_key", F.col("further").alias("label"), (F.col("label") != F.col("further")).alias("moved")), "labels")
+        if labels.where("moved").isEmpty():
+            return labels.drop("moved")
+        labels = labels.drop("moved")
+
+
 def tag_components(tags: DataFrame, distance: int) -> DataFrame:
     """Tags with allele_key, the smallest tag of their component.
 
     With a minimum of one point and each its own neighbour, density clustering is just that.
     """
-    edges = tag_edges(tags, distance).select(*BLOCK, "key_a", "key_b")
-    labels = edges.groupBy(*BLOCK).applyInPandas(_components, "region string, block_id long, tag_key string, label string")
+    edges = saved(tag_edges(tags, distance).select(*BLOCK, "key_a", "key_b"), "tag-edges")
+    large = edges.groupBy(*BLOCK).agg(F.count("*").alias("n")).where(F.col("n") > TASK_EDGES).select(*BLOCK)
+    large = saved(large, "large-blocks")
+    if large.isEmpty():
+        labels = edges.groupBy(*BLOCK).applyInPandas(_components, _LABELS)
+    else:
+        labels = edges.join(large, BLOCK, "left_anti").groupBy(*BLOCK).applyInPandas(_components, _LABELS)
+        labels = labels.unionByName(spread_labels(edges.join(large, BLOCK, "left_semi")))
     return tags.join(labels, [*BLOCK, "tag_key"], "left").withColumn("allele_key", F.coalesce("label", "tag_key")).drop("label")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import percent
-from .cluster import BLOCK, tag_pairs
+from .cluster import BLOCK, pair_counts
 
 #: Alleles at a position that have a bucket of their own; more go to bucket 0.
 BUCKETS = 10
@@ -48,7 +48,7 @@ def block_counters(blocks: DataFrame, valid: DataFrame) -> DataFrame:
 
 def cluster_counters(tags: DataFrame, alleles: DataFrame, distance: int, mode: str = "dbscan") -> DataFrame:
     """Distances in all and after the bound, tags before and alleles after, reads before and after."""
-    pairs = tag_pairs(tags).agg(F.count("*").alias("total"), F.count_if(F.col("bound") <= distance).alias("complete"))
+    pairs = pair_counts(tags, distance)
     off = F.lit(mode != "none").cast("long")
     pairs = pairs.select((F.col("total") * off).alias("leven_total"), (F.col("complete") * off).alias("leven_complete"))
     before = tags.agg(F.count("*").alias("tags_before"), F.coalesce(F.sum("n_reads"), F.lit(0)).alias("reads_before"))

@@ -6,14 +6,17 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where the session names no shared folder and all its workers are on this machine, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    root = (root or FALLBACK_DIR).rstrip("/")
     path = f"{root}/tagcall/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

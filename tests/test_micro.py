@@ -1,5 +1,7 @@
 """Hand-written cases, one for each rule that the derived reads do not reach."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +100,44 @@ def test_chain_of_tags(spark):
     assert len(keys) == 2 and min(keys) == "0000000011111111"
 
 
+def random_tags(spark, seed, many):
+    r = random.Random(seed)
+    tags = {("c", b, "".join(r.choice("ACGT") for _ in range(r.choice((4, 5, 8, 16))))) for b, k in ((1, many), (2, 9), (3, 1)) for _ in range(k)}
+    near = {(c, b, t[:1] + r.choice("ACGT") + t[2:] if r.random() < 0.5 else t[1:] + "A") for c, b, t in tags}
+    d = spark.createDataFrame([(*t, 1) for t in sorted(tags | near)], "region string, block_id long, tag string, n_reads long")
+    return d.withColumns({"tag16": x.tag16(F.col("tag")), "tag_key": x.tag_key(F.col("tag"))}).drop("tag")
+
+
+@pytest.mark.parametrize("distance", [0, 1, 2, 3, 5])
+def test_tag_join_like_all_pairs(spark, distance):
+    """The join on shortened tags, and the counts without pairs, against all pairs."""
+    d = random_tags(spark, distance, 120)
+    every = cluster.tag_pairs(d).withColumn("dist", F.levenshtein("tag_a", "tag_b")).collect()
+    want = sorted((r["block_id"], r["key_a"], r["key_b"], r["dist"]) for r in every if r["dist"] <= distance)
+    assert sorted((r["block_id"], r["key_a"], r["key_b"], r["dist"]) for r in cluster.tag_edges(d, distance).collect()) == want
+    assert want or distance == 0
+    assert tuple(cluster.pair_counts(d, distance).first()) == (len(every), sum(r["bound"] <= distance for r in every))
+
+
+def test_components_of_large_blocks(spark, monkeypatch):
+    """Labels in rounds are those of one task."""
+    d = random_tags(spark, 7, 120)
+    want = sorted(map(tuple, cluster.tag_components(d, 1).collect()))
+    monkeypatch.setattr(cluster, "TASK_EDGES", 3)
+    assert sorted(map(tuple, cluster.tag_components(d, 1).collect())) == want
+
+
+def test_depth_over_bins(spark):
+    """The sweep line in bins is the plain one."""
+    r = random.Random(3)
+    rows = [(r.choice("ab"), s, s + r.randrange(1, 60)) for s in (r.randrange(0, 300) for _ in range(200))]
+    d = spark.createDataFrame(rows, "region string, start long, end long")
+    got = {g["region"]: (g["start"], g["end"], g["n_reads"], g["max_depth"]) for g in blocks.depth(d, ["region"], 16).collect()}
+    for k in "ab":
+        own = [(s, e) for c, s, e in rows if c == k]
+        assert got[k] == (min(s for s, _ in own), max(e for _, e in own), len(own), max(sum(s <= p < e for s, e in own) for p in range(400)))
+
+
 def votes(spark, **counts):
     cov = sum(counts.values())
     row = {f"n_{b}": counts.get(b, 0) for b in "ATCGND"} | {f"q_{b}": 30 * counts.get(b, 0) for b in "ATCGND"} | {"cov": cov, "mapq_sum": 60 * cov}
