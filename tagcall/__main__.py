@@ -52,13 +52,19 @@ def main(argv: list[str] | None = None) -> int:
 
     builder = SparkSession.builder.appName("tagcall")
     spark = builder.getOrCreate() if SparkSession.getActiveSession() else builder.config("spark.master", f"local[{a.threads}]").getOrCreate()
+    header: list[str] | None = None
     if a.input.endswith(".bam"):
         bam.register(spark)
-        reads = spark.read.format("bam").load(a.input)
+        reads, header = spark.read.format("bam").load(a.input), bam.header_contigs(a.input)
+    elif a.input.endswith(".sam"):
+        reads, header = sam.read_sam(spark, a.input), sam.header_contigs(spark, a.input)
     else:
-        reads = sam.read_sam(spark, a.input) if a.input.endswith(".sam") else spark.read.parquet(a.input)
+        reads = spark.read.parquet(a.input)
+    if header and not p.all_regions and (unknown := sorted(set(p.regions) - set(header))):
+        print(f"no such contig: {', '.join(unknown)}", file=sys.stderr)
+        return 2
     text = a.reference.endswith((".fa", ".fasta", ".fna"))
-    run = Caller(reads, fasta.read_fasta(spark, a.reference) if text else spark.read.parquet(a.reference), p)
+    run = Caller(reads, fasta.read_fasta(spark, a.reference) if text else spark.read.parquet(a.reference), p, header)
     print(*p.lines(), sep="\n", file=sys.stderr)
     if a.output:
         formatting.write_text(run.rows, a.output)

@@ -17,8 +17,10 @@ def contig_catalog(aln: DataFrame, min_reads: int = 1, names: tuple[str, ...] =
 
 
 def header_order(catalog: DataFrame, names: list[str]) -> DataFrame:
-    """The catalog with the index of each contig in a header."""
-    return catalog.withColumn("contig_idx", F.array_position(F.array(*map(F.lit, names)), F.col("region")).cast("int") - 1)
+    """The catalog with the index of each contig in a header; contigs that it lacks come after, by name."""
+    places = catalog.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "region string, place int")
+    own = F.row_number().over(Window.orderBy(F.col("place").isNull(), "place", "region")) - 1
+    return catalog.join(places, "region", "left").select(F.coalesce("place", own + len(names)).cast("int").alias("contig_idx"), "region", "num_reads")
 
 
 def largest_first(catalog: DataFrame) -> DataFrame:

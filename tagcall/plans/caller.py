@@ -17,12 +17,14 @@ from ..tables import saved
 
 
 class Caller:
-    def __init__(self, alignments: DataFrame, reference: DataFrame, params: Params | None = None):
-        self.alignments, self.reference, self.params = alignments, reference, params or Params()
+    def __init__(self, alignments: DataFrame, reference: DataFrame, params: Params | None = None, header: list[str] | None = None):
+        """header: contig names in the order of the rows wanted, as a file's header has them; by name where there is none."""
+        self.alignments, self.reference, self.params, self.header = alignments, reference, params or Params(), header
 
     @cached_property
     def contigs(self) -> DataFrame:
-        return contigs.contig_catalog(self.alignments, names=self.params.regions)
+        found = contigs.contig_catalog(self.alignments, names=self.params.regions)
+        return contigs.header_order(found, self.header) if self.header else found
 
     @cached_property
     def reads(self) -> DataFrame:

@@ -3,7 +3,8 @@
 ``register(spark)`` once, then ``spark.read.format("bam").load(path)``.
 Paths are read by the executors through the file system that all of them see.  A file is cut into
 ranges of compressed bytes; each range's first record is found by the chain of record sizes from a
-block's start, so no index is needed.  Filters on region, flag and mapq skip decoding.
+block's start, so no index is needed.  Filters on region and mapq skip decoding.  A file that is cut
+off, or a block whose checksum is wrong, is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 SCHEMA = "qname string, region string, pos long, mapq long, flag long, cigar string, seq string, qual string"
 #: Fixed values of the format: letters of 4-bit bases and of operations.
 BASES, OPERATIONS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+#: Fixed value of the format: the empty block that ends a file.
+END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 SPLIT_BYTES = 64 << 20
 
 
@@ -35,7 +38,22 @@ def block_size(head: bytes) -> int:
 
 
 def inflate(block: bytes) -> bytes:
-    return zlib.decompress(block[18:-8], -15)
+    try:
+        data = zlib.decompress(block[18:-8], -15)
+    except zlib.error as e:
+        raise ValueError(f"damaged BGZF block: {e}") from e
+    if struct.unpack("<II", block[-8:]) != (zlib.crc32(data), len(data)):
+        raise ValueError("damaged BGZF block: its checksum or size is wrong")
+    return data
+
+
+def header_contigs(path: str) -> list[str]:
+    """Contig names in header order, of the first file where there are many."""
+    return read_header(files(path)[0])[0]
+
+
+def files(path: str) -> list[str]:
+    return sorted(glob.glob(os.path.join(path, "*.bam"))) if os.path.isdir(path) else [path]
 
 
 def read_header(path: str) -> tuple[list[str], int, int]:
@@ -101,7 +119,7 @@ def plausible(data: bytes, at: int, n_refs: int) -> bool:
 
 class BamReader(DataSourceReader):
     def __init__(self, path: str, split: int):
-        self.paths = sorted(glob.glob(os.path.join(path, "*.bam"))) if os.path.isdir(path) else [path]
+        self.paths = files(path)
         self.split = split
         self.regions: set[str] | None = None
         self.min_mapq = 0
@@ -120,6 +138,10 @@ class BamReader(DataSourceReader):
         out = []
         for path in self.paths:
             size = os.path.getsize(path)
+            with open(path, "rb") as f:
+                f.seek(max(0, size - len(END)))
+                if f.read() != END:
+                    raise ValueError(f"{path} is cut off: the block that ends a BAM file is missing")
             out += [Range(path, b, min(b + self.split, size)) for b in range(0, size, self.split)]
         return out
 
@@ -140,8 +162,10 @@ class BamReader(DataSourceReader):
                 f.seek(at)
                 block = f.read(1 << 16)
                 n = block_size(block)
-                if not n:
+                if not block:
                     return False
+                if not 0 < n <= len(block):
+                    raise ValueError(f"{part.path}: no whole BGZF block at {at}")
                 data += inflate(block[:n])
                 ends.append((len(data), at))
                 at += n
@@ -157,6 +181,8 @@ class BamReader(DataSourceReader):
             while True:
                 while pos + 4 > len(data):
                     if not more():
+                        if pos < len(data):
+                            raise ValueError(f"{part.path} ends inside a record")
                         return
                 block = next(b for e, b in ends if pos < e)
                 if block >= part.end:
@@ -164,7 +190,7 @@ class BamReader(DataSourceReader):
                 n = struct.unpack_from("<i", data, pos)[0]
                 while pos + 4 + n > len(data):
                     if not more():
-                        return
+                        raise ValueError(f"{part.path} ends inside a record")
                 ref = struct.unpack_from("<i", data, pos + 4)[0]
                 if (wanted is None or ref in wanted) and data[pos + 13] >= self.min_mapq:
                     yield decode(data[pos + 4 : pos + 4 + n], names)

@@ -1,7 +1,8 @@
 """FASTA as a reference table (region, pos, ref_base).
 
-Lines get their contig and offset by windows over file pieces: names and line lengths first add
-up inside each input piece, and only one row a piece passes on to the next.
+Lines get their contig and offset by windows over pieces of each file: names and line lengths first
+add up inside a piece, and only one row a piece passes on to the next of its file.  A folder may hold
+many files; a contig lies in one of them.
 """
 
 from __future__ import annotations
@@ -13,19 +14,19 @@ from pyspark.sql import functions as F
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(region, offset, letters): upper-case letters of each line and where they begin in their contig.
 
-    The running id of Spark's rows follows the order of the text inside and between input splits.
+    Rows of one split have running ids in the order of its text; splits are ordered by their place in the file.
     """
-    d = spark.read.text(path).withColumn("id", F.monotonically_increasing_id()).withColumn("value", F.trim("value"))
-    d = d.withColumns({"name": F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S*)", 1)), "piece": F.shiftright("id", 16)})
+    d = spark.read.text(path).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    d = d.withColumns({"name": F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S*)", 1)), "piece": F.struct("split", F.shiftright("id", 16).alias("part"))})
     d = d.withColumn("n", F.when(F.col("name").isNull(), F.length("value")).otherwise(0))
-    inside = Window.partitionBy("piece").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file", "piece").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("file").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumns({"own": F.last("name", True).over(inside), "total": F.sum("n").over(inside)})
-    pieces = d.groupBy("piece").agg(F.max(F.struct("id", "own")).alias("m"), F.sum("n").alias("n"))
-    pieces = pieces.select("piece", F.last("m.own", True).over(earlier).alias("carried"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    d = d.join(pieces, "piece").withColumns({"region": F.coalesce("own", "carried"), "end": F.col("total") + F.col("before")})
-    starts = d.where("name IS NOT NULL").groupBy("region").agg(F.max("end").alias("zero"))
-    d = d.where("name IS NULL AND n > 0").join(starts, "region")
+    pieces = d.groupBy("file", "piece").agg(F.max(F.struct("id", "own")).alias("m"), F.sum("n").alias("n"))
+    pieces = pieces.select("file", "piece", F.last("m.own", True).over(earlier).alias("carried"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    d = d.join(pieces, ["file", "piece"]).withColumns({"region": F.coalesce("own", "carried"), "end": F.col("total") + F.col("before")})
+    starts = d.where("name IS NOT NULL").groupBy("file", "region").agg(F.max("end").alias("zero"))
+    d = d.where("name IS NULL AND n > 0").join(starts, ["file", "region"])
     return d.select("region", (F.col("end") - F.col("n") - F.col("zero")).alias("offset"), F.upper("value").alias("letters"))
 
 

@@ -28,3 +28,19 @@ def test_rows_from_files(spark, data, tmp_path, capsys):
     got = [line for line in capsys.readouterr().out.splitlines() if line.startswith("TMPVARCALL")]
     order = ["contig_idx", "block_id", "pos", "is_insertion", "pool_allele"]
     assert got == [r["line"] for r in formatting.lines(c.rows).orderBy(*order).collect()]
+
+
+def test_header_order(spark, tmp_path, capsys):
+    """Rows come in the order of the header, not of the names; an unknown contig is an error."""
+    names, rows = ["chr2", "chr10", "chr1"], []
+    for n in names:
+        for i in range(6):
+            seq = "A" * 4 + "G" + "A" * 15
+            rows.append((f"q{i}_F1_ACGTACGT_F2_NA_R1_NA_R2_NA", n, 100, 60, 99, "20M", seq, "I" * 20))
+    bam.write_bam(rows, [(n, 1000) for n in names], str(tmp_path / "x.bam"))
+    (tmp_path / "x.fa").write_text("".join(f">{n}\n{'A' * 1000}\n" for n in names))
+    args = ["-i", str(tmp_path / "x.bam"), "-f", str(tmp_path / "x.fa"), "-T"]
+    assert main(args) == 0
+    lines = [line.split() for line in capsys.readouterr().out.splitlines() if line.startswith("TMPVARCALL")]
+    assert [next(w for w in line if w in names) for line in lines] == names
+    assert main([*args, "-r", "chr7"]) == 2

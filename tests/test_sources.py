@@ -46,6 +46,40 @@ def test_bam(spark, rows, tmp_path, split):
     assert some.count() == sum(r[1] == "chr2" and r[3] >= 40 for r in rows)
 
 
+def test_fasta_of_several_files(spark, tmp_path):
+    r = random.Random(2)
+    want = {n: "".join(r.choice("ACGT") for _ in range(k)) for n, k in (("cA", 2250), ("cB", 1980), ("cC", 700))}
+    for n, s in want.items():
+        (tmp_path / f"{n}.fa").write_text(f">{n}\n" + "".join(s[i : i + 60] + "\n" for i in range(0, len(s), 60)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1000)
+    try:
+        rows = fasta.read_fasta(spark, str(tmp_path)).orderBy("region", "pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got: dict[str, str] = {}
+    for g in rows:
+        assert g["pos"] == len(got.setdefault(g["region"], ""))
+        got[g["region"]] += g["ref_base"]
+    assert got == want
+
+
+def test_damaged_bam(spark, rows, tmp_path):
+    path = tmp_path / "x.bam"
+    bam.write_bam(rows, [(f"chr{i}", 10_000) for i in range(1, 6)], str(path), block=3000)
+    bam.register(spark)
+    whole = path.read_bytes()
+    assert whole.endswith(bam.END) and spark.read.format("bam").load(str(path)).count() == len(rows)
+    starts = [i for i in range(len(whole)) if bam.block_size(whole[i : i + 18])]
+    flipped = bytearray(whole)
+    flipped[starts[3] - 8] ^= 1  # a checksum
+    bad = [whole[: -len(bam.END)], whole[: starts[2]], whole[: starts[2] + 9] + bam.END, whole[: starts[2]] + bam.END, bytes(flipped)]
+    for i, b in enumerate(bad):
+        (tmp_path / f"{i}.bam").write_bytes(b)
+        with pytest.raises(Exception, match="cut off|no whole BGZF block|ends inside a record|damaged BGZF block"):
+            spark.read.format("bam").load(str(tmp_path / f"{i}.bam")).collect()
+
+
 def test_stream(spark, tmp_path):
     from tagcall.streaming.blocks import stream_blocks
 
