@@ -101,6 +101,20 @@ def test_pii_checksums_and_context():
     assert base == [] and [k for k, _, _ in every] == ["iban", "phone"]
 
 
+def test_pii_iban_ends_where_its_country_says():
+    found = lambda t: [t[a:b] for k, a, b in pii.spans(t)[1] if k == "iban"]
+    assert found("DE89 3704 0044 0532 0130 00 BIC COBADEFF") == ["DE89 3704 0044 0532 0130 00"]
+    assert found("to DE89370400440532013000, or GB82 WEST 1234 5698 7654 32 NOW") == ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"]
+    assert found("DE89 3704 0044 0532 0130 01") == found("DE89370400440532013000A") == found("QQ89 3704 0044 0532 0130 00") == []
+
+
+def test_pii_scores(spark):
+    text = "Card 4111 1111 1111 1111, version 1.2.3.4; card 4111 1111 1111 1112; mail a@b.de"
+    row = pii.find_pii(docs(spark, [(1, text, "en", "a"), (2, None, None, None)])).orderBy("doc_id").collect()
+    assert [s.split(":")[0] for s in row[0]["spans"].split(",")] == ["card", "ip", "email"]  # the card that fails its check isn't one
+    assert row[0]["scores"] == "1.00,0.30,1.00" and row[1]["scores"] == ""
+
+
 def test_pii_odd(odd, none):
     got = {r["doc_id"]: r["spans"] for r in pii.find_pii(odd).collect()}
     assert len(got) == 8 and set(got.values()) == {""}
