@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import decontaminate, exact_dedup, html_text, language, mixing, near_dedup, passages, pii, token_store, toxicity
+from . import collocations, conversations, decontaminate, exact_dedup, html_text, language, mixing, near_dedup, passages, pii, quality, token_store, toxicity
 
 QUERIES = {
     "op5_passages": passages.op5_passages,
@@ -13,7 +13,12 @@ QUERIES = {
     "op4_token_store": token_store.op4_token_store,
     "op8_mixing": mixing.op8_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op11_quality": quality.op11_quality,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_conversations": conversations.op13_conversations,
 }
 ORACLE = {
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op12_collocations": collocations.ORACLE,
+    "op13_conversations": conversations.ORACLE,
 }
