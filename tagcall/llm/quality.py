@@ -170,8 +170,7 @@ def fit(rows: DataFrame) -> Model:
         share = good / n if n else 1.0
         return Model(np.zeros(BUCKETS), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     shards = -(-n // SHARD_ROWS)
-    order = F.xxhash64(F.lit(11), "doc_id")
-    dealt = rows.withColumns({"order": order, "shard": F.pmod(F.hash("order"), F.lit(shards))}).repartition(shards, "shard").sortWithinPartitions("order", "text")
+    dealt = rows.withColumn("order", F.xxhash64(F.lit(11), "doc_id")).repartition(shards, "order").sortWithinPartitions("order", "text")
     passes = -(-UPDATES * shards // n)
     learnt = saved(dealt.select("good", "text").mapInArrow(lambda batches: _shard(batches, passes), "bucket long, weight long"), "quality-shards")
     merged = learnt.groupBy("bucket").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")).toPandas()  # BUCKETS rows at most
