@@ -1,11 +1,12 @@
 """Phrase collocations: count-min sketches find what may be frequent, an exact count follows, then scores.
 
-First pass: every task adds its n-grams of 1 to ``longest`` words to a count-min sketch of ``DEPTH``
-rows; the sketches are merged in Spark by blocks of cells.  A cell is never less than the count of
-any n-gram in it, so an n-gram one of whose cells stays below the least count is not frequent, and
-nothing frequent is lost.  Second pass: n-grams whose cells all reach it, as must those of the
-n-grams inside them, are counted exactly, by their words.  The width grows with the text, up to
-``MOST_BITS``; beyond that more n-grams are counted than need be, and results stay the same.
+First pass: every task adds its words and pairs of words to a count-min sketch of ``DEPTH`` rows; the
+sketches are merged in Spark by blocks of cells.  A cell is never less than the count of any n-gram
+in it, so an n-gram one of whose cells stays below the least count is not frequent, and nothing
+frequent is lost.  Longer n-grams go to a second sketch only where all their pairs may be frequent.
+Last pass: n-grams whose cells all reach the least count, as must those of the n-grams inside them,
+are counted exactly, by their words.  The width grows with the text, up to ``MOST_BITS``; beyond
+that more n-grams are counted than need be, and results stay the same.
 
 Texts are lower-cased in A-Z, cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and into words
 ``[^\\x20\\x09]+``.  Everything is for each language: n is all its words, a, l and r are occurrences
@@ -20,7 +21,10 @@ without candidates, or an empty table, gives no rows.  Other columns are not rea
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,7 @@ from ._text import U, chunks, mix, powers
 
 LONGEST, LEAST, PART, TOP = 5, 100, 100, 2000
 #: Rows of the sketch (the two halves of one hash), and its width: a cell for so many bytes of text, in powers of two.
-DEPTH, CELL_BYTES, LEAST_BITS, MOST_BITS = 2, 64, 16, 27
+DEPTH, CELL_BYTES, LEAST_BITS, MOST_BITS = 2, 16, 16, 27
 #: Cells of a block, by which sketches are merged.
 BLOCK = 1 << 14
 #: Characters of a chunk; distinct n-grams that a task holds before it hands them on.
@@ -84,28 +88,27 @@ class Tokens:
         return np.array([seen.setdefault(text[s:e], len(seen)) for s, e in zip(self.start, self.end, strict=True)], np.int64)
 
 
-def ngrams(t: Tokens, longest: int, may: list[np.ndarray] | None = None, bits: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(k, places, hashes) of the n-grams of each length that lie inside a piece.
+#: For each length of n-grams, one row of bits for each row of a sketch: which cells may hold frequent ones.
+Sieve = dict[int, list[np.ndarray]]
 
-    With the sketch's bits, only of those that may be frequent, as all n-grams inside them may.
-    """
+
+def ngrams(t: Tokens, longest: int, sieve: Sieve, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, places, hashes) of the n-grams of each length that lie inside a piece and pass the sieve, as all n-grams inside them do."""
     at, h, before = np.arange(len(t)), mix(t.hash + mix(t.language_hashes())), None
     for k in range(1, longest + 1):
         if k > 1:
             keep = at + k - 1 < len(t)
             at, h = at[keep], h[keep]
-            keep = t.piece[at] == t.piece[at + k - 1]
-            if before is not None:
-                keep &= before[at + 1]
+            keep = (t.piece[at] == t.piece[at + k - 1]) & before[at + 1]
             at, h = at[keep], h[keep]
             h = mix(h * _STEP + t.hash[at + k - 1])
-        if may is not None:
+        if k in sieve:
             keep = np.ones(len(h), bool)
-            for row, cell in zip(may, cells(h, bits), strict=True):
+            for row, cell in zip(sieve[k], cells(h, bits), strict=True):
                 keep &= (row[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
             at, h = at[keep], h[keep]
-            before = np.zeros(len(t) + 1, bool)
-            before[at] = True
+        before = np.zeros(len(t) + 1, bool)
+        before[at] = True
         yield k, at, h
 
 
@@ -116,74 +119,72 @@ def cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        yield from zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True)
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
-def sketch(texts: DataFrame, longest: int, least: int, bits: int) -> DataFrame:
-    """(row, block, bits): for each block of the merged sketch, which of its cells reach ``least``."""
+def sketch(texts: DataFrame, lengths: range, least: int, sieve: Sieve, bits: int) -> list[np.ndarray]:
+    """The sieve that a merged sketch of n-grams of some lengths gives; DEPTH << MOST_BITS - 3 bytes at most."""
     kind = next(k for k in (np.uint8, np.uint16, np.uint32) if least <= np.iinfo(k).max)
+    shared = texts.sparkSession.sparkContext.broadcast(sieve)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((DEPTH, 1 << bits), kind)  # counts up to ``least``
         for part in chunks(_rows(batches), limit=CHUNK):
-            found = [np.concatenate(c) for c in zip(*(cells(h, bits) for _, _, h in ngrams(Tokens(part), longest)), strict=True)]
-            for row, cell in zip(held, found, strict=True):
-                cell, n = np.unique(cell.astype(np.uint32), return_counts=True)
+            found = zip(*(cells(h, bits) for k, _, h in ngrams(Tokens(part), lengths[-1], shared.value, bits) if k in lengths), strict=True)
+            for row, own in zip(held, found, strict=True):
+                cell, n = np.unique(np.concatenate(own).astype(np.uint32), return_counts=True)
                 row[cell] = np.minimum(row[cell] + n, least)
         for r in range(DEPTH):
             for b, block in enumerate(held[r].reshape(-1, BLOCK)):
-                some = np.flatnonzero(block)
-                if len(some):
-                    thin = len(some) < BLOCK // 4  # then places and counts are shorter than all cells
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([b], pa.int32()), pa.array([some.astype(np.uint16).tobytes() if thin else b""]), pa.array([(block[some] if thin else block).tobytes()])], ["row", "block", "at", "n"])
+                if block.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([b], pa.int32()), pa.array([zlib.compress(block, 1)])], ["row", "block", "n"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, total = None, np.zeros(BLOCK, np.int64)
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()])], ["row", "block", "bits"])
-
-        for batch in batches:
-            for row, block, at, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if key != (row, block):
-                    if key:
-                        yield out()
-                    key, total = (row, block), np.zeros(BLOCK, np.int64)
-                n = np.frombuffer(n, kind)
-                if len(n) == BLOCK:
-                    total += n
-                else:
-                    total[np.frombuffer(at, np.uint16)] += n
-        if key:
-            yield out()
-
-    parts = texts.mapInArrow(count, "row int, block int, at binary, n binary")
-    return parts.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(merge, "row int, block int, bits binary")
-
-
-def exact_counts(texts: DataFrame, longest: int, bits: int, blocks: list[tuple]) -> DataFrame:
-    """(lang, phrase, k, n) of n-grams that the sketch lets through; k = 0 holds all words of a language."""
-    may = [np.zeros(1 << max(bits - 3, 0), np.uint8) for _ in range(DEPTH)]
-    for row, block, packed in blocks:
-        may[row][block * BLOCK // 8 : (block + 1) * BLOCK // 8] = np.frombuffer(packed, np.uint8)
-    shared = texts.sparkSession.sparkContext.broadcast(may)  # DEPTH << MOST_BITS - 3 bytes at most
+        for (row, block), own in groupby(_rows(batches), key=itemgetter(0, 1)):
+            total = np.zeros(BLOCK, np.int64)
+            for _, _, n in own:
+                total += np.frombuffer(zlib.decompress(n), kind)
+            if (total >= least).any():
+                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()])], ["row", "block", "bits"])
+
+    parts = texts.mapInArrow(count, "row int, block int, n binary")
+    merged = parts.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(merge, "row int, block int, bits binary")
+    out = [np.zeros(1 << bits - 3, np.uint8) for _ in range(DEPTH)]
+    for row, block, packed in merged.collect():
+        out[row][block * BLOCK // 8 : (block + 1) * BLOCK // 8] = np.frombuffer(packed, np.uint8)
+    return out
+
+
+def exact_counts(texts: DataFrame, longest: int, least: int, sieve: Sieve, bits: int) -> DataFrame:
+    """(lang, phrase, k, n) of the n-grams with n >= least; k = 0 holds all words of a language.
+
+    A task hands its counts on in lists, one for each part of the phrases by their checksum, and each
+    part is added up by one task, which holds the part's phrases; there are more parts the more text there is.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(sieve)
+    n_parts = 1 << max(bits - 16, 4)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, int] = {}
 
         def out() -> pa.RecordBatch:
-            lang, phrase, k = zip(*held, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(lang), pa.array([p.decode("utf-8", "surrogatepass") for p in phrase]), pa.array(k, pa.int32()), pa.array(list(held.values()), pa.int64())], ["lang", "phrase", "k", "n"])
+            parts: dict[int, tuple[list, list, list, list]] = {}
+            for (lang, phrase, k), n in held.items():
+                own = parts.setdefault(zlib.crc32(phrase) % n_parts, ([], [], [], []))
+                for column, v in zip(own, (lang, phrase.decode("utf-8", "surrogatepass"), k, n), strict=True):
+                    column.append(v)
+            kinds = pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *(pa.array(list(c), kind) for c, kind in zip(zip(*parts.values(), strict=True), kinds, strict=True))], ["part", "lang", "phrase", "k", "n"])
 
         for part in chunks(_rows(batches), limit=CHUNK):
             t = Tokens(part)
             for i, n in enumerate(np.bincount(t.lang, minlength=len(t.langs)).tolist()):
                 held[t.langs[i], b"", 0] = held.get((t.langs[i], b"", 0), 0) + n
-            words, ids, text = t.ids(), t.lang, t.bytes.tobytes()
+            words, text = t.ids(), t.bytes.tobytes()
             whole = np.zeros(len(t), np.int64)
             for k, at, _ in ngrams(t, longest, shared.value, bits):
                 # the number of an n-gram: that of its words but the last, and the last; exact, as both fit 31 bits
-                own, first, inverse, n = np.unique((ids if k == 1 else whole)[at] << 32 | words[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
+                own, first, inverse, n = np.unique((t.lang if k == 1 else whole)[at] << 32 | words[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
                 whole[at] = inverse
                 for i, c in zip(at[first].tolist(), n.tolist(), strict=True):
                     key = t.langs[t.lang[i]], b" ".join([text[t.start[j] : t.end[j]] for j in range(i, i + k)]), k
@@ -194,7 +195,19 @@ def exact_counts(texts: DataFrame, longest: int, bits: int, blocks: list[tuple])
         if held:
             yield out()
 
-    return texts.mapInArrow(count, "lang string, phrase string, k int, n long").groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in groupby(_rows(batches), key=itemgetter(0)):
+            total: dict[tuple, int] = {}
+            for _, *columns in own:
+                for *key, n in zip(*columns, strict=True):
+                    key = tuple(key)
+                    total[key] = total.get(key, 0) + n
+            rows = [(*key, n) for key, n in total.items() if n >= least or key[2] == 0]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["lang", "phrase", "k", "n"])
+
+    parts = texts.mapInArrow(count, "part int, lang array<string>, phrase array<string>, k array<int>, n array<long>")
+    return parts.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "lang string, phrase string, k int, n long")
 
 
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -202,8 +215,11 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_c
     texts = docs.select(F.coalesce(docs[lang_col], F.lit("und")).alias("lang"), docs[text_col].alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(max((size // CELL_BYTES).bit_length(), LEAST_BITS), MOST_BITS)
-    blocks = [tuple(r) for r in sketch(texts, longest, least, bits).toLocalIterator()]  # 2 MOST_BITS / 8 bytes at most
-    return saved(exact_counts(texts, longest, bits, blocks).where((F.col("n") >= least) | (F.col("k") == 0)), "frequent-ngrams")
+    short = sketch(texts, range(1, 3), least, {}, bits)
+    sieve = {1: short, 2: short}
+    if longest > 2:
+        sieve |= dict.fromkeys(range(3, longest + 1), sketch(texts, range(3, longest + 1), least, sieve, bits))
+    return saved(exact_counts(texts, longest, least, sieve, bits), "frequent-ngrams")
 
 
 def _some(words: Column, begin: int | Column, n: Column) -> Column:
