@@ -36,7 +36,7 @@ from ._text import U, chunks, mix, powers
 
 LONGEST, LEAST, PART, TOP = 5, 100, 100, 2000
 #: Rows of the sketch (the two halves of one hash), and its width: a cell for so many bytes of text, in powers of two.
-DEPTH, CELL_BYTES, LEAST_BITS, MOST_BITS = 2, 16, 16, 27
+DEPTH, CELL_BYTES, LEAST_BITS, MOST_BITS = 2, 32, 16, 27
 #: Cells of a block, by which sketches are merged.
 BLOCK = 1 << 14
 #: Characters of a chunk; distinct n-grams that a task holds before it hands them on.
@@ -122,6 +122,18 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
+def packed(block: np.ndarray) -> bytes:
+    """Gaps between the cells that are not 0, low bytes before high ones, and their counts, compressed."""
+    at = np.flatnonzero(block)
+    return zlib.compress(np.diff(at, prepend=0).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes() + block[at].tobytes())
+
+
+def unpacked(data: bytes, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    b = np.frombuffer(zlib.decompress(data), np.uint8)
+    n = len(b) // (2 + np.dtype(kind).itemsize)
+    return np.cumsum(b[:n] + (b[n : 2 * n].astype(np.int64) << 8)), b[2 * n :].view(kind)
+
+
 def sketch(texts: DataFrame, lengths: range, least: int, sieve: Sieve, bits: int) -> list[np.ndarray]:
     """The sieve that a merged sketch of n-grams of some lengths gives; DEPTH << MOST_BITS - 3 bytes at most."""
     kind = next(k for k in (np.uint8, np.uint16, np.uint32) if least <= np.iinfo(k).max)
@@ -137,13 +149,14 @@ def sketch(texts: DataFrame, lengths: range, least: int, sieve: Sieve, bits: int
         for r in range(DEPTH):
             for b, block in enumerate(held[r].reshape(-1, BLOCK)):
                 if block.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([b], pa.int32()), pa.array([zlib.compress(block, 1)])], ["row", "block", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([b], pa.int32()), pa.array([packed(block)])], ["row", "block", "n"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (row, block), own in groupby(_rows(batches), key=itemgetter(0, 1)):
             total = np.zeros(BLOCK, np.int64)
             for _, _, n in own:
-                total += np.frombuffer(zlib.decompress(n), kind)
+                at, n = unpacked(n, kind)
+                total[at] += n
             if (total >= least).any():
                 yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()])], ["row", "block", "bits"])
 
@@ -169,7 +182,7 @@ def exact_counts(texts: DataFrame, longest: int, least: int, sieve: Sieve, bits:
 
         def out() -> pa.RecordBatch:
             parts: dict[int, tuple[list, list, list, list]] = {}
-            for (lang, phrase, k), n in held.items():
+            for (lang, phrase, k), n in sorted(held.items()):  # neighbours are alike, so lists compress well
                 own = parts.setdefault(zlib.crc32(phrase) % n_parts, ([], [], [], []))
                 for column, v in zip(own, (lang, phrase.decode("utf-8", "surrogatepass"), k, n), strict=True):
                     column.append(v)

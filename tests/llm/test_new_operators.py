@@ -149,6 +149,17 @@ def test_collocations_word_ids_without_hashes(monkeypatch):
     assert len(set(t.ids())) == 3 and t.ids()[0] == t.ids()[2]
 
 
+def test_sketch_blocks_packed():
+    r = np.random.default_rng(1)
+    for share, kind in ((0.001, np.uint8), (0.3, np.uint8), (1.0, np.uint16)):
+        block = np.where(r.random(collocations.BLOCK) < share, r.integers(1, 255, collocations.BLOCK), 0).astype(kind)
+        block[[0, -1]] = 7
+        at, n = collocations.unpacked(collocations.packed(block), kind)
+        again = np.zeros_like(block)
+        again[at] = n
+        assert np.array_equal(again, block)
+
+
 def test_collocations_odd(spark):
     assert phrases(collocations.collocations(docs(spark, []))) == []
     assert phrases(collocations.collocations(docs(spark, [(1, None, None), (2, " . ", "en"), (3, "one two", "en")]))) == []
