@@ -163,8 +163,8 @@ def sketch(texts: DataFrame, lengths: range, least: int, sieve: Sieve, bits: int
     parts = texts.mapInArrow(count, "row int, block int, n binary")
     merged = parts.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(merge, "row int, block int, bits binary")
     out = [np.zeros(1 << bits - 3, np.uint8) for _ in range(DEPTH)]
-    for row, block, packed in merged.collect():
-        out[row][block * BLOCK // 8 : (block + 1) * BLOCK // 8] = np.frombuffer(packed, np.uint8)
+    for row, block, own in merged.collect():
+        out[row][block * BLOCK // 8 : (block + 1) * BLOCK // 8] = np.frombuffer(own, np.uint8)
     return out
 
 
