@@ -1,21 +1,26 @@
 """BAM as a Spark data source, in plain Python: BGZF blocks and records are decoded with ``zlib``.
 
-``register(spark)`` once, then ``spark.read.format("bam").load(path)``.
-Paths are read by the executors through the file system that all of them see.  A file is cut into
-ranges of compressed bytes; each range's first record is found by the chain of record sizes from a
-block's start, so no index is needed.  Filters on region and mapq skip decoding.  A file that is cut
-off, or a block whose checksum is wrong, is an error.
+``register(spark)`` once, then ``spark.read.format("bam").load(path)``, of a file, or of a folder of
+them.  Executors open the path themselves, by any scheme of ``files``.
+
+A filter on region, also with bounds of pos, reads only the blocks that the file's index (.bai)
+names for it.  Without such a filter, or without an index, a file is cut into ranges of compressed
+bytes; each range's first record is found by the chain of record sizes from a block's start.
+Records that a filter on region or mapq rejects are not decoded.  A file that is cut off, or a block
+whose checksum is wrong, is an error.
 """
 
 from __future__ import annotations
 
-import glob
-import os
 import struct
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, In, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+
+from . import bai, files
 
 SCHEMA = "qname string, region string, pos long, mapq long, flag long, cigar string, seq string, qual string"
 #: Fixed values of the format: letters of 4-bit bases and of operations.
@@ -26,8 +31,10 @@ SPLIT_BYTES = 64 << 20
 
 
 class Range(InputPartition):
-    def __init__(self, path: str, begin: int, end: int):
-        self.path, self.begin, self.end = path, begin, end
+    """Records that begin in a range of a file: of compressed bytes, or ``exact`` virtual offsets of an index."""
+
+    def __init__(self, path: str, begin: int, end: int, exact: bool = False):
+        self.path, self.begin, self.end, self.exact = path, begin, end, exact
 
 
 def block_size(head: bytes) -> int:
@@ -47,48 +54,97 @@ def inflate(block: bytes) -> bytes:
     return data
 
 
-def header_contigs(path: str) -> list[str]:
-    """Contig names in header order, of the first file where there are many."""
-    return read_header(files(path)[0])[0]
+def paths(path: str) -> list[str]:
+    return files.listed(path, ".bam")
 
 
-def files(path: str) -> list[str]:
-    return sorted(glob.glob(os.path.join(path, "*.bam"))) if os.path.isdir(path) else [path]
-
+def header_contigs(path: str) -> list[str]:
+    """Contig names in header order, of the first file where there are many."""
+    return [n for n, _ in read_header(paths(path)[0])[0]]
+
+
+def indexed_catalog(spark: SparkSession, path: str, min_reads: int = 0) -> DataFrame | None:
+    """(contig_idx, region, length, num_reads) from header and index, without reading a record; None without an index.
+
+    ``num_reads`` are the placed and mapped ones, of all files of a folder.
+    """
+    total: dict[str, list[int]] = {}
+    for p in paths(path):
+        index = bai.read_index(p)
+        if index is None:
+            return None
+        for (name, length), c in zip(read_header(p)[0], index, strict=True):
+            own = total.setdefault(name, [length, 0])
+            own[1] += c.mapped
+    rows = [(i, n, k, m) for i, (n, (k, m)) in enumerate(total.items()) if m >= min_reads]
+    return spark.createDataFrame(rows, "contig_idx int, region string, length long, num_reads long")
+
+
+def read_header(path: str) -> tuple[list[tuple[str, int]], int, int]:
+    """Names and lengths of contigs, and where records begin: compressed offset of the block, offset inside it."""
+    with files.opened(path) as f:
+        r = Inflated(f, 0, path)
+        r.need(8)
+        if r.data[:4] != b"BAM\x01":
+            raise ValueError(f"{path} is not a BAM file")
+        r.pos = 8 + struct.unpack_from("<i", r.data, 4)[0]
+        contigs = []
+        for _ in range(r.int()):
+            n = r.int()
+            r.need(n + 4)
+            name = r.data[r.pos : r.pos + n - 1].decode()
+            r.pos += n
+            contigs.append((name, r.int()))
+        at = r.virtual()
+    return contigs, at >> 16, at & 0xFFFF
+
+
+class Inflated:
+    """Blocks of a file from an offset on, inflated as they are asked for."""
+
+    def __init__(self, f, at: int, path: str):
+        self.f, self.at, self.path = f, at, path
+        self.data, self.pos = b"", 0
+        self.blocks: deque[tuple[int, int, int]] = deque()  # begin and end in data, compressed offset
+
+    def more(self) -> bool:
+        """One more block; False at the end of the file."""
+        self.f.seek(self.at)
+        block = self.f.read(1 << 16)
+        if not block:
+            return False
+        n = block_size(block)
+        if not 0 < n <= len(block):
+            raise ValueError(f"{self.path}: no whole BGZF block at {self.at}" if self.at else f"{self.path} is not a BAM file")
+        if self.pos > 1 << 20:
+            self.data = self.data[self.pos :]
+            self.blocks = deque((a - self.pos, b - self.pos, c) for a, b, c in self.blocks if b > self.pos)
+            self.pos = 0
+        begin = len(self.data)
+        self.data += inflate(block[:n])
+        self.blocks.append((begin, len(self.data), self.at))
+        self.at += n
+        return True
 
-def read_header(path: str) -> tuple[list[str], int, int]:
-    """Contig names, and where records begin: compressed offset of the block, offset inside it."""
-    data, starts, at = b"", [], 0
-    with open(path, "rb") as f:
+    def need(self, n: int) -> None:
+        """At least ``n`` bytes from the current place on."""
+        while self.pos + n > len(self.data):
+            if not self.more():
+                raise ValueError(f"{self.path} ends inside a record")
 
-        def need(n: int) -> None:
-            nonlocal data, at
-            while len(data) < n:
-                f.seek(at)
-                size = block_size(f.read(18))
-                if not size:
-                    raise ValueError(f"{path} is not a BAM file")
-                f.seek(at)
-                starts.append((at, len(data)))
-                data += inflate(f.read(size))
-                at += size
+    def int(self) -> int:
+        self.need(4)
+        self.pos += 4
+        return struct.unpack_from("<i", self.data, self.pos - 4)[0]
 
-        need(8)
-        if data[:4] != b"BAM\x01":
-            raise ValueError(f"{path} is not a BAM file")
-        pos = 8 + struct.unpack_from("<i", data, 4)[0]
-        need(pos + 4)
-        names, count = [], struct.unpack_from("<i", data, pos)[0]
-        pos += 4
-        for _ in range(count):
-            need(pos + 4)
-            size = struct.unpack_from("<i", data, pos)[0]
-            need(pos + 8 + size)
-            names.append(data[pos + 4 : pos + 3 + size].decode())
-            pos += 8 + size
-    inside = [s for s in starts if s[1] <= pos]
-    block, first = inside[-1]
-    return names, block, pos - first
+    def virtual(self) -> int:
+        """The virtual offset of the current place; that of the next block at the end of one."""
+        while self.blocks and self.blocks[0][1] <= self.pos:
+            self.blocks.popleft()
+        if not self.blocks:
+            return self.at << 16
+        begin, _, at = self.blocks[0]
+        return at << 16 | self.pos - begin
 
 
 def decode(record: bytes, names: list[str]) -> tuple:
@@ -119,86 +175,83 @@ def plausible(data: bytes, at: int, n_refs: int) -> bool:
 
 class BamReader(DataSourceReader):
     def __init__(self, path: str, split: int):
-        self.paths = files(path)
-        self.split = split
+        self.path, self.split = path, split
         self.regions: set[str] | None = None
-        self.min_mapq = 0
+        self.min_mapq, self.begin, self.end = 0, 0, None  # positions from begin to before end
+        self.headers: dict[str, tuple] = {}  # of each file, read once while partitions are planned
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("region",):
-                self.regions = {f.value} if self.regions is None else self.regions & {f.value}
-            elif isinstance(f, In) and f.attribute == ("region",):
-                self.regions = set(f.value) if self.regions is None else self.regions & set(f.value)
-            elif isinstance(f, GreaterThanOrEqual) and f.attribute == ("mapq",):
+            column = getattr(f, "attribute", None)
+            if column == ("region",) and isinstance(f, EqualTo | In):
+                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.regions = own if self.regions is None else self.regions & own
+            elif column == ("mapq",) and isinstance(f, GreaterThanOrEqual):
                 self.min_mapq = max(self.min_mapq, f.value)
+            elif column == ("pos",) and isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual):
+                if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
+                    self.begin = max(self.begin, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
+                    end = f.value + (not isinstance(f, LessThan))
+                    self.end = end if self.end is None else min(self.end, end)
             yield f  # Spark tests it again
 
     def partitions(self) -> list[Range]:
         out = []
-        for path in self.paths:
-            size = os.path.getsize(path)
-            with open(path, "rb") as f:
+        for path in paths(self.path):
+            size = files.size(path)
+            if size is None:
+                raise ValueError(f"there is no file {path}")
+            with files.opened(path) as f:
                 f.seek(max(0, size - len(END)))
                 if f.read() != END:
                     raise ValueError(f"{path} is cut off: the block that ends a BAM file is missing")
-            out += [Range(path, b, min(b + self.split, size)) for b in range(0, size, self.split)]
+            self.headers[path] = read_header(path)
+            index = bai.read_index(path) if self.regions is not None else None
+            if index is None:
+                out += [Range(path, b, min(b + self.split, size)) for b in range(0, size, self.split)]
+                continue
+            for (name, _), c in zip(self.headers[path][0], index, strict=True):
+                if name in self.regions:
+                    out += [Range(path, a, b, True) for a, b in bai.cut(c, bai.ranges(c, self.begin, self.end), self.split)]
         return out
 
     def read(self, part: Range) -> Iterator[tuple]:
-        names, first_block, first_inside = read_header(part.path)
+        if not isinstance(part, Range):  # Spark's stand-in where no range is left
+            return
+        contigs, first_block, first_inside = self.headers.get(part.path) or read_header(part.path)
+        names = [n for n, _ in contigs]
         wanted = None if self.regions is None else {i for i, n in enumerate(names) if n in self.regions}
-        size = os.path.getsize(part.path)
-        with open(part.path, "rb") as f:
-            at, inside = part.begin, None
-            if at <= first_block:
-                at, inside = first_block, first_inside
+        with files.opened(part.path) as f:
+            stop = part.end if part.exact else part.end << 16
+            if part.exact:
+                r, inside = Inflated(f, part.begin >> 16, part.path), part.begin & 0xFFFF
+            elif part.begin <= first_block:
+                r, inside = Inflated(f, first_block, part.path), first_inside
             else:
-                at = self._next_block(f, at, size)
-            data, ends = b"", []  # ends: (end in data, block's compressed offset)
-
-            def more() -> bool:
-                nonlocal data, at
-                f.seek(at)
-                block = f.read(1 << 16)
-                n = block_size(block)
-                if not block:
-                    return False
-                if not 0 < n <= len(block):
-                    raise ValueError(f"{part.path}: no whole BGZF block at {at}")
-                data += inflate(block[:n])
-                ends.append((len(data), at))
-                at += n
-                return True
-
-            if at >= part.end or not more():
+                at = self._next_block(f, part.begin, f.size())
+                if at >= part.end:
+                    return
+                r, inside = Inflated(f, at, part.path), None
+            if not r.more():
                 return
             if inside is None:  # the first record that begins in this block or later
-                while len(data) < 1 << 18 and more():
+                while len(r.data) < 1 << 18 and r.more():
                     pass
-                inside = next((i for i in range(len(data)) if self._chain(data, i, len(names))), len(data))
-            pos = inside
-            while True:
-                while pos + 4 > len(data):
-                    if not more():
-                        if pos < len(data):
-                            raise ValueError(f"{part.path} ends inside a record")
-                        return
-                block = next(b for e, b in ends if pos < e)
-                if block >= part.end:
+                inside = next((i for i in range(len(r.data)) if self._chain(r.data, i, len(names))), len(r.data))
+            r.pos = inside
+            while r.virtual() < stop:
+                if r.pos == len(r.data) and not r.more():
+                    return
+                if r.virtual() >= stop:
                     return
-                n = struct.unpack_from("<i", data, pos)[0]
-                while pos + 4 + n > len(data):
-                    if not more():
-                        raise ValueError(f"{part.path} ends inside a record")
-                ref = struct.unpack_from("<i", data, pos + 4)[0]
-                if (wanted is None or ref in wanted) and data[pos + 13] >= self.min_mapq:
-                    yield decode(data[pos + 4 : pos + 4 + n], names)
-                pos += 4 + n
-                if pos > 1 << 20:
-                    data = data[pos:]
-                    ends[:] = [(e - pos, b) for e, b in ends if e > pos]
-                    pos = 0
+                n = r.int()
+                r.need(n)
+                record = r.data[r.pos : r.pos + n]
+                r.pos += n
+                ref, pos = struct.unpack_from("<ii", record)
+                if (wanted is None or ref in wanted) and record[9] >= self.min_mapq and (wanted is None or pos >= self.begin):
+                    yield decode(record, names)
 
     @staticmethod
     def _next_block(f, at: int, size: int) -> int:
@@ -245,12 +298,13 @@ def register(spark) -> None:
     spark.dataSource.register(BamDataSource)
 
 
-def write_bam(rows: list[tuple], contigs: list[tuple[str, int]], path: str, block: int = 60_000) -> None:
-    """A small BAM file from rows of the schema and (name, length) of contigs; for tests and samples."""
-    index = {n: i for i, (n, _) in enumerate(contigs)}
+def write_bam(rows: list[tuple], contigs: list[tuple[str, int]], path: str, block: int = 60_000, index: bool = False) -> None:
+    """A small BAM file from rows of the schema and (name, length) of contigs, with its index if wanted; for tests and samples."""
+    numbers = {n: i for i, (n, _) in enumerate(contigs)}
     text = "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in contigs).encode()
     out = [b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(contigs))]
     out += [struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", k) for n, k in contigs]
+    places, at = [], sum(map(len, out))  # (contig, begin, end, mapped, offset, offset after) of each record
     for qname, region, pos, mapq, flag, cigar, seq, qual in rows:
         ops, number = [], ""
         for ch in cigar if cigar != "*" else "":
@@ -260,14 +314,26 @@ def write_bam(rows: list[tuple], contigs: list[tuple[str, int]], path: str, bloc
                 ops.append(int(number) << 4 | OPERATIONS.index(ch))
                 number = ""
         codes = [BASES.index(b) for b in seq] + [0] * (len(seq) % 2)
-        body = struct.pack("<iiBBHHHiiii", index.get(region, -1), pos, len(qname) + 1, mapq, 0, len(ops), flag, len(seq), -1, -1, 0) + qname.encode() + b"\0"
+        end = pos + sum(o >> 4 for o in ops if OPERATIONS[o & 15] in "MDN=X")
+        ref, number = numbers.get(region, -1), bai.bin_of(max(pos, 0), max(end, pos + 1, 1))
+        body = struct.pack("<iiBBHHHiiii", ref, pos, len(qname) + 1, mapq, number, len(ops), flag, len(seq), -1, -1, 0) + qname.encode() + b"\0"
         body += struct.pack(f"<{len(ops)}I", *ops) + bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(codes), 2))
         body += b"\xff" * len(seq) if qual == "*" else bytes(ord(q) - 33 for q in qual)
         out.append(struct.pack("<i", len(body)) + body)
-    data = b"".join(out)
+        places.append((ref, max(pos, 0), end, not flag & 4, at, at + len(out[-1])))
+        at += len(out[-1])
+    data, starts = b"".join(out), []
     with open(path, "wb") as f:
         for i in [*range(0, len(data), block), None]:
+            starts.append(f.tell())
             chunk = b"" if i is None else data[i : i + block]
             packer = zlib.compressobj(6, zlib.DEFLATED, -15)
             packed = packer.compress(chunk) + packer.flush()
             f.write(b"\x1f\x8b\x08\x04" + b"\0" * 5 + b"\xff\x06\0BC\x02\0" + struct.pack("<H", len(packed) + 25) + packed + struct.pack("<II", zlib.crc32(chunk), len(chunk)))
+    if index:
+        built = bai.Builder(len(contigs))
+        virtual = lambda o: starts[o // block] << 16 | o % block
+        for ref, begin, end, mapped, a, b in places:
+            built.add(ref, begin, end, mapped, virtual(a), virtual(b))
+        with open(f"{path}.bai", "wb") as f:
+            f.write(built.bytes())

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagcall.queries import caller
-from tagcall.sources import bam, fasta, sam
+from tagcall.sources import bai, bam, fasta, sam
 
 COLUMNS = ["qname", "region", "pos", "mapq", "flag", "cigar", "seq", "qual"]
 
@@ -80,6 +80,91 @@ def test_damaged_bam(spark, rows, tmp_path):
             spark.read.format("bam").load(str(tmp_path / f"{i}.bam")).collect()
 
 
+@pytest.fixture(scope="module")
+def indexed(rows, tmp_path_factory):
+    """The same reads in one file with an index and one without, sorted, with unplaced reads at the end."""
+    folder = tmp_path_factory.mktemp("bam")
+    placed = sorted(rows, key=lambda r: (r[1], r[2]))
+    every = [*placed, *((f"u{i}", None, -1, 0, 4, "*", "ACGT", "*") for i in range(20))]
+    contigs = [*((f"chr{i}", 10_000) for i in range(1, 6)), ("empty", 500)]
+    for name, index in (("with", True), ("without", False)):
+        bam.write_bam(every, contigs, str(folder / f"{name}.bam"), block=700, index=index)
+    return folder, every
+
+
+def plain_scan(path, monkeypatch, split=1 << 30, **bounds):
+    """Rows of the reader in this process, the number of blocks that it inflated for them, and of its ranges."""
+    reader = bam.BamReader(str(path), split)
+    vars(reader).update(bounds)
+    parts, n, inflate = reader.partitions(), 0, bam.inflate
+
+    def counted(block):
+        nonlocal n
+        n += 1
+        return inflate(block)
+
+    monkeypatch.setattr(bam, "inflate", counted)
+    out = [r for p in parts for r in reader.read(p)]
+    monkeypatch.setattr(bam, "inflate", inflate)
+    return out, n, len(parts)
+
+
+@pytest.mark.parametrize("split", [1 << 30, 3000])
+def test_indexed_region_reads_only_its_blocks(indexed, monkeypatch, split):
+    folder, every = indexed
+    whole, blocks, _ = plain_scan(folder / "without.bam", monkeypatch)
+    assert whole == every
+    for region in ("chr1", "chr2", "chr5"):
+        want = [r for r in every if r[1] == region]
+        got, few, parts = plain_scan(folder / "with.bam", monkeypatch, split, regions={region})
+        assert got == want and few <= blocks / 5 + 2 + 2 * parts and (parts == 1 or split == 3000)
+        assert plain_scan(folder / "without.bam", monkeypatch, split, regions={region})[0] == want
+    assert plain_scan(folder / "with.bam", monkeypatch, regions={"empty"}) == ([], 0, 0)
+    assert plain_scan(folder / "with.bam", monkeypatch, split)[0] == every  # unplaced reads too
+
+
+def test_indexed_positions(monkeypatch, tmp_path):
+    """Bounds of positions over several windows and bins; long reads that begin before a span are not its own."""
+    r = random.Random(7)
+    rows = [(f"q{i}", "c", p, 60, 0, f"{n}M", "A" * n, "I" * n) for i, p in enumerate(sorted(r.randrange(900_000) for _ in range(3000))) for n in [r.choice([20, 60, 400])]]
+    bam.write_bam(rows, [("b", 10), ("c", 1_000_000), ("d", 10)], str(tmp_path / "x.bam"), block=2000, index=True)
+    whole = plain_scan(tmp_path / "x.bam", monkeypatch)[1]
+    for begin, end in ((0, 1), (16_384, 32_768), (100_000, 100_500), (131_071, 131_073), (500_000, None), (899_000, 2_000_000)):
+        got, blocks, _ = plain_scan(tmp_path / "x.bam", monkeypatch, regions={"c"}, begin=begin, end=end)
+        want = [x for x in rows if x[2] >= begin and (end is None or x[2] < end)]
+        assert [x for x in got if end is None or x[2] < end] == want
+        assert blocks <= whole * (((end or 900_000) - begin) / 900_000 + 0.2)
+
+
+def test_indexed_through_spark(spark, indexed):
+    folder, every = indexed
+    bam.register(spark)
+    df = spark.read.format("bam").option("split", 3000).load((folder / "with.bam").as_uri())
+    some = df.where("region IN ('chr2', 'chr4') AND pos >= 40 AND pos < 120 AND mapq >= 30")
+    assert sorted(map(tuple, some.collect())) == sorted(r for r in every if r[1] in ("chr2", "chr4") and 40 <= r[2] < 120 and r[3] >= 30)
+    assert df.where("region = 'empty'").count() == 0 == df.where("region = 'nowhere'").count()
+    assert df.where("region IS NULL").count() == 20
+    found = bam.indexed_catalog(spark, str(folder / "with.bam"), 1).collect()
+    counts = {f"chr{i}": sum(r[1] == f"chr{i}" for r in every) for i in range(1, 6)}
+    assert [(r["contig_idx"], r["region"], r["length"], r["num_reads"]) for r in found] == [(i, n, 10_000, counts[n]) for i, n in enumerate(counts)]
+    assert bam.indexed_catalog(spark, str(folder / "without.bam")) is None
+    assert bam.indexed_catalog(spark, str(folder / "with.bam")).count() == 6
+
+
+def test_damaged_index(indexed, tmp_path):
+    folder, _ = indexed
+    data = (folder / "with.bam.bai").read_bytes()
+    for bad, says in ((b"XAI\x01" + data[4:], "not a BAM index"), (data[:90], "cut off")):
+        (tmp_path / "x.bai").write_bytes(bad)
+        with pytest.raises(ValueError, match=says):
+            bai.read_index(str(tmp_path / "x.bam"))
+
+
+@pytest.mark.parametrize(("begin", "end", "number"), [(0, 1, 4681), (16_383, 16_385, 585), (0, 1 << 29, 0), (1 << 26, (1 << 26) + 1, 4681 + 4096), (131_071, 131_073, 73)])
+def test_bins(begin, end, number):
+    assert bai.bin_of(begin, end) == number and any(number in r for r in bai.overlapping(begin, end))
+
+
 def test_stream(spark, tmp_path):
     from tagcall.streaming.blocks import stream_blocks
 
