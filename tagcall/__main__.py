@@ -11,7 +11,7 @@ from .params import ORIENTATIONS, TAG_SLOTS, Params
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("tagcall", description="Variant calling over molecule-tagged reads")
     p.add_argument("-i", "--input", required=True, help="alignments: .bam, .sam, or a Parquet table")
-    p.add_argument("-f", "--reference", required=True, help="reference: FASTA, or a Parquet table of region, pos, ref_base")
+    p.add_argument("-f", "--reference", required=True, help="reference: FASTA, or a Parquet table of region, pos, ref_base or of pieces")
     p.add_argument("-m", "--mapq", type=int, default=0, help="least mapping quality")
     p.add_argument("-p", "--phredscore", type=int, default=0, help="bases below become N")
     p.add_argument("-b", "--threshold", type=float, default=0.7, help="acceptance threshold")
@@ -54,8 +54,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = builder.getOrCreate() if SparkSession.getActiveSession() else builder.config("spark.master", f"local[{a.threads}]").getOrCreate()
     header: list[str] | None = None
     if a.input.endswith(".bam"):
-        bam.register(spark)
-        reads, header = spark.read.format("bam").load(a.input), bam.header_contigs(a.input)
+        reads, header = bam.load(spark, a.input), bam.header_contigs(a.input)
     elif a.input.endswith(".sam"):
         reads, header = sam.read_sam(spark, a.input), sam.header_contigs(spark, a.input)
     else:
@@ -64,7 +63,7 @@ def main(argv: list[str] | None = None) -> int:
         print(f"no such contig: {', '.join(unknown)}", file=sys.stderr)
         return 2
     text = a.reference.endswith((".fa", ".fasta", ".fna"))
-    run = Caller(reads, fasta.read_fasta(spark, a.reference) if text else spark.read.parquet(a.reference), p, header)
+    run = Caller(reads, fasta.read_reference(spark, a.reference) if text else spark.read.parquet(a.reference), p, header)
     print(*p.lines(), sep="\n", file=sys.stderr)
     if a.output:
         formatting.write_text(run.rows, a.output)

@@ -8,22 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as x
+from .reference import letter_at, piece_of, pieces
 
 ALLELE = ["region", "block_id", "allele_id"]
 _LETTERS = x.PRINTED
 
 
-def base_votes(observed: DataFrame, reference: DataFrame) -> DataFrame:
-    """For each allele and position: coverage, deviations, counts and phred sums by letter, mapq sum.
-
-    One aggregation with map-side combine; coverage, deviations and consensus all come from it.
-    """
-    base, phred = F.col("base"), F.col("phred")
-    sums = [F.count_if(base == b).alias(f"n_{b}") for b in _LETTERS] + [F.sum(F.when(base == b, phred).otherwise(0)).alias(f"q_{b}") for b in _LETTERS]
-    votes = observed.groupBy(*ALLELE, "pos").agg(F.count("*").alias("cov"), F.sum("mapq").alias("mapq_sum"), *sums)
-    votes = votes.join(reference, ["region", "pos"])
+def with_reference(votes: DataFrame, reference: DataFrame) -> DataFrame:
+    """Adds ref_base and deviations to votes with coverage and counts by letter; positions without a reference letter go."""
+    d = votes.withColumn("piece", piece_of(F.col("pos"))).join(pieces(reference), ["region", "piece"])
+    d = d.withColumn("ref_base", letter_at(F.col("pos"))).drop("piece", "letters").where("ref_base IS NOT NULL")
     same = reduce(lambda rest, b: F.when(F.col("ref_base") == b, F.col(f"n_{b}")).otherwise(rest), _LETTERS, F.lit(0))
-    return votes.withColumn("deviations", F.col("cov") - same)
+    return d.withColumn("deviations", F.col("cov") - same)
 
 
 def allele_variants(votes: DataFrame, coverage: int, threshold: float) -> DataFrame:

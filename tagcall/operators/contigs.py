@@ -1,4 +1,4 @@
-"""Catalog of contigs and slices of the reference."""
+"""Catalog of contigs."""
 
 from __future__ import annotations
 
@@ -25,13 +25,3 @@ def header_order(catalog: DataFrame, names: list[str]) -> DataFrame:
 
 def largest_first(catalog: DataFrame) -> DataFrame:
     return catalog.orderBy(F.desc("num_reads"), "contig_idx")
-
-
-def reference_slice(reference: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(region, block_id, start, end, ref_seq): upper-case letters of each block's span.
-
-    Each block asks for its positions by an equi-join, so no range join is needed.
-    """
-    wanted = blocks.where(F.col("end") > F.col("start")).select("region", "block_id", "start", "end", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
-    got = wanted.join(reference, ["region", "pos"]).groupBy("region", "block_id", "start", "end").agg(F.array_sort(F.collect_list(F.struct("pos", "ref_base"))).alias("s"))
-    return got.select("region", "block_id", "start", "end", F.upper(F.array_join(F.transform("s", lambda v: v["ref_base"]), "")).alias("ref_seq"))

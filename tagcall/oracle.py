@@ -118,6 +118,7 @@ _SELECTS = {
     "scan_region": "SELECT qname, region, pos, flag, mapq, cigar FROM aln WHERE region = 'chr2'",
     "contig_catalog": "SELECT * FROM contigs",
     "reference_slice": "SELECT vb.region, block_id, start, \"end\", string_agg(upper(ref_base), '' ORDER BY pos) AS ref_seq FROM vb JOIN ref ON ref.region = vb.region AND pos >= start AND pos < \"end\" GROUP BY ALL",
+    "fasta_slice": "SELECT vb.region, block_id, start, \"end\", string_agg(upper(ref_base), '' ORDER BY pos) AS ref_seq FROM vb JOIN ref ON ref.region = vb.region AND pos >= start AND pos < \"end\" WHERE vb.region IN ('chr2', 'chr4') GROUP BY ALL",
     "filter_mapq": "SELECT qname, flag, mapq FROM aln WHERE mapq >= 30",
     "filter_flags": "SELECT qname, flag FROM aln WHERE (flag & 3852) = 0",
     "filter_strand": "SELECT qname, flag FROM aln WHERE (flag & 16) = 0",

@@ -11,14 +11,17 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import blocks, calling, cigar, cluster, contigs, filters, formatting
+from ..operators import blocks, calling, cigar, cluster, contigs, filters, formatting, votes
 from ..params import Params
 from ..tables import saved
 
 
 class Caller:
     def __init__(self, alignments: DataFrame, reference: DataFrame, params: Params | None = None, header: list[str] | None = None):
-        """header: contig names in the order of the rows wanted, as a file's header has them; by name where there is none."""
+        """reference: pieces (region, piece, letters) or rows (region, pos, ref_base).
+
+        header: contig names in the order of the rows wanted, as a file's header has them; by name where there is none.
+        """
         self.alignments, self.reference, self.params, self.header = alignments, reference, params or Params(), header
 
     @cached_property
@@ -68,13 +71,9 @@ class Caller:
         """Reads of alleles that are kept, with allele_id."""
         return saved(self.clustered_reads.join(self.alleles.select(*cluster.BLOCK, "allele_key", "allele_id"), [*cluster.BLOCK, "allele_key"]), "allele-reads")
 
-    @cached_property
-    def observed(self) -> DataFrame:
-        return cigar.observed(self.allele_reads, self.params.phred, [*calling.ALLELE, "mapq"])
-
     @cached_property
     def votes(self) -> DataFrame:
-        return saved(calling.base_votes(self.observed, self.reference), "votes")
+        return saved(calling.with_reference(votes.base_votes(self.allele_reads, self.params.phred, calling.ALLELE), self.reference), "votes")
 
     @cached_property
     def positions(self) -> DataFrame:

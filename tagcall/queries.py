@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import exprs as x
-from .operators import blocks, calling, cigar, cluster, contigs, filters, formatting, stats
+from .operators import blocks, calling, cigar, cluster, contigs, filters, formatting, reference, stats, votes
 from .params import TAG_SLOTS
 from .plans.caller import Caller
-from .sources import derived
-from .tables import saved
+from .sources import derived, fasta
+from .tables import folder, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _RUNS: dict[tuple[str, str], Caller] = {}
@@ -72,7 +72,16 @@ def contig_catalog(c: Caller) -> DataFrame:
 
 @query
 def reference_slice(c: Caller) -> DataFrame:
-    return contigs.reference_slice(c.reference, c.valid_blocks)
+    return reference.slices(c.reference, c.valid_blocks)
+
+
+@query
+def fasta_slice(c: Caller) -> DataFrame:
+    """The same slices from the reference written as FASTA with an index, of which only those contigs' pieces are read."""
+    spark = c.reference.sparkSession
+    path = folder(spark, "fasta") + "/reference.fa"
+    fasta.write_fasta(c.reference, path)
+    return reference.slices(fasta.load(spark, path).where(F.col("region").isin("chr2", "chr4")), c.valid_blocks)
 
 
 # ---------------------------------------------------------------- filters and tags
@@ -164,12 +173,14 @@ def cigar_ops(c: Caller) -> DataFrame:
 
 @query
 def pileup(c: Caller) -> DataFrame:
-    return cigar.observed(c.reads, 0, ["region"]).groupBy("region", "pos", "base").agg(F.count("*").alias("n"), F.sum("phred").alias("phred_sum"))
+    letters = F.explode(F.array(*(F.struct(F.lit(b).alias("base"), F.col(f"n_{b}").alias("n"), F.col(f"q_{b}").alias("phred_sum")) for b in x.PRINTED)))
+    return votes.base_votes(c.reads, 0, ["region"]).select("region", "pos", letters.alias("v")).select("region", "pos", "v.*").where("n > 0")
 
 
 @query
 def phred_mask(c: Caller) -> DataFrame:
-    return cigar.observed(c.reads, 30, ["region"]).groupBy("region", "base").agg(F.count("*").alias("n"))
+    every = votes.base_votes(c.reads, 30, ["region"]).groupBy("region").agg(*(F.sum(n).alias(n) for n in votes.COUNTS))
+    return every.select("region", F.explode(F.array(*(F.struct(F.lit(b).alias("base"), F.col(f"n_{b}").alias("n")) for b in x.PRINTED))).alias("v")).select("region", "v.*").where("n > 0")
 
 
 @query

@@ -1,7 +1,6 @@
 """BAM as a Spark data source, in plain Python: BGZF blocks and records are decoded with ``zlib``.
 
-``register(spark)`` once, then ``spark.read.format("bam").load(path)``, of a file, or of a folder of
-them.  Executors open the path themselves, by any scheme of ``files``.
+``load(spark, path)`` reads a file, or a folder of them.  Executors open the path themselves, by any scheme of ``files``.
 
 A filter on region, also with bounds of pos, reads only the blocks that the file's index (.bai)
 names for it.  Without such a filter, or without an index, a file is cut into ranges of compressed
@@ -298,6 +297,16 @@ def register(spark) -> None:
     spark.dataSource.register(BamDataSource)
 
 
+def load(spark: SparkSession, path: str, split: int = SPLIT_BYTES) -> DataFrame:
+    """The reads of a file or folder.
+
+    The filter that all reads pass has Spark plan every use anew: of a table of a Python source, a
+    use without filters would else take over the filters that an earlier use pushed.
+    """
+    register(spark)
+    return spark.read.format("bam").option("split", split).load(path).where("mapq >= 0")
+
+
 def write_bam(rows: list[tuple], contigs: list[tuple[str, int]], path: str, block: int = 60_000, index: bool = False) -> None:
     """A small BAM file from rows of the schema and (name, length) of contigs, with its index if wanted; for tests and samples."""
     numbers = {n: i for i, (n, _) in enumerate(contigs)}

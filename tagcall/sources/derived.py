@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.reference import PIECE, piece_of
+
 CONTIGS = 5
 LENGTH = 30
 
@@ -61,8 +63,9 @@ def alignments(ev: DataFrame) -> DataFrame:
 
 
 def reference(ev: DataFrame) -> DataFrame:
-    """(region, pos, ref_base) of the five contigs, as far as any read reaches."""
+    """(region, piece, letters) of the five contigs, as far as any read reaches."""
     last = ev.agg((_div(_div(F.max("event_id"), 40), 5) * 80 + 30 + 17 + LENGTH + 2).alias("last")).where("last IS NOT NULL")
-    at = last.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("pos"))
-    contigs = F.explode(F.array(*(F.lit(f"chr{i + 1}") for i in range(CONTIGS))))
-    return at.select(contigs.alias("region"), "pos", _letter(reference_code(F.col("pos"))).alias("ref_base"))
+    d = last.select("last", F.explode(F.sequence(F.lit(0).cast("long"), piece_of(F.col("last")))).alias("piece"))
+    places = F.sequence(F.col("piece") * PIECE, F.least("last", F.col("piece") * PIECE + PIECE - 1))
+    letters = F.array_join(F.transform(places, lambda p: _letter(reference_code(p))), "").cast("binary")
+    return d.select("piece", letters.alias("letters")).select(F.explode(F.array(*(F.lit(f"chr{i + 1}") for i in range(CONTIGS)))).alias("region"), "piece", "letters")

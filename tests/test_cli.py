@@ -21,8 +21,8 @@ def test_rows_from_files(spark, data, tmp_path, capsys):
     rows = [tuple(r) for r in c.alignments.select("qname", "region", "pos", "mapq", "flag", "cigar", "seq", "qual").orderBy("region", "pos").collect()]
     bam.write_bam(rows, [(f"chr{i}", 10_000) for i in range(1, 6)], str(tmp_path / "x.bam"))
     letters: dict[str, list[str]] = {}
-    for r in c.reference.orderBy("region", "pos").collect():
-        letters.setdefault(r["region"], []).append(r["ref_base"])
+    for r in c.reference.orderBy("region", "piece").collect():
+        letters.setdefault(r["region"], []).append(bytes(r["letters"]).decode())
     (tmp_path / "x.fa").write_text("".join(f">{n}\n{''.join(s)}\n" for n, s in letters.items()))
     assert main(["-i", str(tmp_path / "x.bam"), "-f", str(tmp_path / "x.fa"), "-C", "dbscan", "-T"]) == 0
     got = [line for line in capsys.readouterr().out.splitlines() if line.startswith("TMPVARCALL")]

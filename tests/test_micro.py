@@ -182,7 +182,7 @@ def test_insertion_noise_and_end(spark):
 
 def test_missing_quality_is_all_n(spark):
     c = sample(spark, ["4M"] * 5, quals=["*"] * 5)
-    got = {(r["base"], r["phred"]) for r in c.observed.select("base", "phred").collect()}
+    got = {(r["base"], r["phred"]) for r in cigar.observed(c.allele_reads, 0, ["region"]).select("base", "phred").collect()}
     assert got == {("N", -1)}
     assert c.positions.count() == 4  # masked letters count as deviations
 
@@ -239,3 +239,25 @@ def test_report(spark, data):
     text = report(caller(spark, data))
     assert [line.split()[1] for line in text.splitlines() if line.startswith("====")] == ["Summary", "Clustering", "Reference", "Global", "Variants"]
     assert text.splitlines()[-1].startswith("CRC32  0x")
+
+
+@pytest.mark.parametrize("phred", [0, 25])
+def test_votes_like_rows_of_bases(spark, phred):
+    """Array sums against one row for each observed base, also with clips, missing and short qualities, and groups over batches."""
+    from tagcall.operators import votes
+
+    r = random.Random(phred)
+    rows = []
+    for i in range(300):
+        ops = r.choice(["12M", "3S9M", "4M2D8M", "5M3I4M", "2H12M", "6M1D1I5M", "1S3M1D4M2I2M"])
+        rows.append((r.choice("ab"), r.randrange(3), 40 + r.randrange(30), r.choice([0, 7, 60]), ops, "".join(r.choice("ACGTNR") for _ in range(12)), r.choice(["*", "".join(chr(33 + r.randrange(42)) for _ in range(12))])))
+    d = spark.createDataFrame(rows, "region string, block_id long, start long, mapq long, cigar string, seq string, qual string").repartition(3)
+    keep = ["region", "block_id"]
+    sums = [F.count("*").alias("cov"), F.sum("mapq").alias("mapq_sum"), *(F.count_if(F.col("base") == b).alias(f"n_{b}") for b in x.PRINTED), *(F.sum(F.when(F.col("base") == b, F.col("phred")).otherwise(0)).alias(f"q_{b}") for b in x.PRINTED)]
+    want = cigar.observed(d, phred, [*keep, "mapq"]).groupBy(*keep, "pos").agg(*sums)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = sorted(map(tuple, votes.base_votes(d, phred, keep).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(map(tuple, want.collect())) and votes.base_votes(d.limit(0), phred, keep).count() == 0

@@ -3,14 +3,23 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
+from tagcall.operators import reference
 from tagcall.queries import caller
 from tagcall.sources import bai, bam, fasta, sam
 
 COLUMNS = ["qname", "region", "pos", "mapq", "flag", "cigar", "seq", "qual"]
 
 
+def whole(pieces):
+    """Letters of each contig, whose pieces have no gaps."""
+    got: dict[str, str] = {}
+    for r in pieces.orderBy("region", "piece").collect():
+        assert r["piece"] * reference.PIECE == len(got.setdefault(r["region"], ""))
+        got[r["region"]] += bytes(r["letters"]).decode()
+    return got
+
+
 @pytest.fixture(scope="module")
 def rows(spark, data):
     return sorted(tuple(r) for r in caller(spark, data).alignments.select(*COLUMNS).collect())
@@ -30,17 +39,14 @@ def test_fasta(spark, tmp_path):
     want = {f"c{i}": "".join(r.choice("acgtn") for _ in range(r.randrange(0, 400))) for i in range(6)}
     path = tmp_path / "x.fa"
     path.write_text("".join(f">{n} text\n" + "".join(s[i : i + 17] + "\n" for i in range(0, len(s), 17)) + "\n" for n, s in want.items()))
-    got = fasta.read_fasta(spark, str(path)).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("pos", "ref_base"))).alias("s")).collect()
-    assert {g["region"]: "".join(v["ref_base"] for v in g["s"]) for g in got} == {n: s.upper() for n, s in want.items() if s}
-    assert all([v["pos"] for v in g["s"]] == list(range(len(g["s"]))) for g in got)
+    assert whole(fasta.read_pieces(spark, str(path))) == {n: s.upper() for n, s in want.items() if s}
 
 
 @pytest.mark.parametrize("split", [1 << 30, 4000])
 def test_bam(spark, rows, tmp_path, split):
     path = str(tmp_path / "x.bam")
     bam.write_bam(rows, [(f"chr{i}", 10_000) for i in range(1, 6)], path, block=3000)
-    bam.register(spark)
-    df = spark.read.format("bam").option("split", split).load(path)
+    df = bam.load(spark, path, split)
     assert sorted(tuple(r) for r in df.collect()) == rows
     some = df.where("region = 'chr2' AND mapq >= 40")
     assert some.count() == sum(r[1] == "chr2" and r[3] >= 40 for r in rows)
@@ -54,16 +60,47 @@ def test_fasta_of_several_files(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", 1000)
     try:
-        rows = fasta.read_fasta(spark, str(tmp_path)).orderBy("region", "pos").collect()
+        got = whole(fasta.read_reference(spark, str(tmp_path)))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    got: dict[str, str] = {}
-    for g in rows:
-        assert g["pos"] == len(got.setdefault(g["region"], ""))
-        got[g["region"]] += g["ref_base"]
     assert got == want
 
 
+def test_fasta_index(spark, tmp_path, monkeypatch):
+    """Pieces by index, of one contig only its own bytes; and what is written is read again, with and without the index."""
+    r = random.Random(3)
+    want = {n: "".join(r.choice("acgtn") for _ in range(k)) for n, k in (("cA", 70_001), ("cB", 65_536), ("cC", 1), ("cD", 200_000))}
+    path, index = tmp_path / "x.fa", []
+    with open(path, "w", newline="") as f:
+        for n, s in want.items():
+            f.write(f">{n} text\r\n")
+            index.append((n, len(s), f.tell(), 70, 72))
+            f.write("".join(s[i : i + 70] + "\r\n" for i in range(0, len(s), 70)))
+    (tmp_path / "x.fa.fai").write_text("".join("\t".join(map(str, e)) + "\n" for e in index))
+    upper = {n: s.upper() for n, s in want.items()}
+    monkeypatch.setattr(fasta, "TASK_PIECES", 2)
+    df = fasta.read_reference(spark, str(path))
+    assert whole(df) == upper and whole(df.where("region = 'cB'")) == {"cB": upper["cB"]}
+    reader = fasta.FastaReader(str(path))
+    reader.regions = {"cD"}
+    assert [(p.entry[0], p.first, p.end) for p in reader.partitions()] == [("cD", 0, 2), ("cD", 2, 4)]
+    fasta.write_fasta(df, str(tmp_path / "out/y.fa"))
+    assert whole(fasta.read_reference(spark, str(tmp_path / "out/y.fa"))) == upper == whole(fasta.read_pieces(spark, str(tmp_path / "out/y.fa")))
+    (tmp_path / "x.fa.fai").write_text("cA\t70001\n")
+    with pytest.raises(ValueError, match="not an index"):
+        fasta.read_index(str(path))
+
+
+def test_pieces_of_rows(spark):
+    """Rows with gaps, over two pieces; and slices over their border."""
+    at = [0, 1, 5, reference.PIECE - 1, reference.PIECE, reference.PIECE + 3]
+    rows = spark.createDataFrame([("c", p, "acgtac"[i]) for i, p in enumerate(at)], "region string, pos long, ref_base string").repartition(3)
+    got = {r["piece"]: bytes(r["letters"]).decode() for r in reference.pieces(rows).collect()}
+    assert got == {0: "AC   G" + " " * (reference.PIECE - 7) + "T", 1: "A  C"}
+    blocks = spark.createDataFrame([("c", 1, 0, 6), ("c", 2, reference.PIECE - 1, reference.PIECE + 4), ("c", 3, 7, 7)], "region string, block_id long, start long, end long")
+    assert {r["block_id"]: r["ref_seq"] for r in reference.slices(rows, blocks).collect()} == {1: "ACG", 2: "TAC"}
+
+
 def test_damaged_bam(spark, rows, tmp_path):
     path = tmp_path / "x.bam"
     bam.write_bam(rows, [(f"chr{i}", 10_000) for i in range(1, 6)], str(path), block=3000)
@@ -138,12 +175,12 @@ def test_indexed_positions(monkeypatch, tmp_path):
 
 def test_indexed_through_spark(spark, indexed):
     folder, every = indexed
-    bam.register(spark)
-    df = spark.read.format("bam").option("split", 3000).load((folder / "with.bam").as_uri())
+    df = bam.load(spark, (folder / "with.bam").as_uri(), 3000)
     some = df.where("region IN ('chr2', 'chr4') AND pos >= 40 AND pos < 120 AND mapq >= 30")
     assert sorted(map(tuple, some.collect())) == sorted(r for r in every if r[1] in ("chr2", "chr4") and 40 <= r[2] < 120 and r[3] >= 30)
     assert df.where("region = 'empty'").count() == 0 == df.where("region = 'nowhere'").count()
     assert df.where("region IS NULL").count() == 20
+    assert df.where("region = 'chr1'").count() < df.count() == len(every)  # filters of one use don't reach another
     found = bam.indexed_catalog(spark, str(folder / "with.bam"), 1).collect()
     counts = {f"chr{i}": sum(r[1] == f"chr{i}" for r in every) for i in range(1, 6)}
     assert [(r["contig_idx"], r["region"], r["length"], r["num_reads"]) for r in found] == [(i, n, 10_000, counts[n]) for i, n in enumerate(counts)]
