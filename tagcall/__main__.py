@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-T", "--tmpvc", action="store_true", help="print variant rows")
     p.add_argument("-o", "--output", help="write variant rows as text files to this folder")
     p.add_argument("-t", "--threads", default="*", help="local threads, where no cluster is set")
-    p.add_argument("-v", "--verbose", action="count", default=0)
+    p.add_argument("-v", "--verbose", action="count", default=0, help="-v blocks, -vv rows, -vvv clusters, -vvvv alleles")
     p.add_argument("-V", "--version", action="version", version="tagcall 1")
     return p
 
@@ -45,7 +45,7 @@ def main(argv: list[str] | None = None) -> int:
     p = params(a)
     from pyspark.sql import SparkSession
 
-    from .operators import formatting
+    from .operators import display, formatting
     from .operators.report import report
     from .plans.caller import Caller
     from .sources import bam, fasta, sam
@@ -70,6 +70,12 @@ def main(argv: list[str] | None = None) -> int:
     if a.tmpvc or a.verbose >= 2:
         for row in formatting.lines(run.rows).orderBy("contig_idx", "block_id", "pos", "is_insertion", "pool_allele").toLocalIterator():
             print(row["line"])
+    views = [f for level, f in ((1, display.blocks_text), (3, display.clusters_text), (4, display.alleles_text)) if a.verbose >= level]
+    for view in views:
+        d = view(run)
+        order = ["contig_idx", *(c for c in ("block_id", "allele_id") if c in d.columns)]
+        for row in d.join(run.contigs.select("region", "contig_idx"), "region").orderBy(*order).toLocalIterator():
+            print(row["text"])
     if a.stats:
         print(report(run))
     return 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as x
 from ..tables import saved
 from .blocks import depth, valid
+from .components import components
 
 BLOCK = ["region", "block_id"]
 #: Tags of a block up to which all its pairs are fewer rows than its shortened tags.
@@ -25,9 +28,9 @@ def tag_groups(reads: DataFrame) -> DataFrame:
     return reads.groupBy(*BLOCK, "tag_key").agg(F.first("tag16").alias("tag16"), F.count("*").alias("n_reads"))
 
 
-def _met(tags: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of tags (a before b) that agree on some columns."""
-    a, b = (tags.select(*on, F.col("tag_key").alias(f"key_{s}"), F.col("tag16").alias(f"tag_{s}")) for s in "ab")
+def _met(tags: DataFrame, on: list[str], others: DataFrame | None = None) -> DataFrame:
+    """Pairs of tags (a before b) that agree on some columns; b of ``others`` where they are given."""
+    a, b = (d.select(*on, F.col("tag_key").alias(f"key_{s}"), F.col("tag16").alias(f"tag_{s}")) for s, d in (("a", tags), ("b", tags if others is None else others)))
     return a.join(b, on).where(F.col("key_a") < F.col("key_b")).select(*BLOCK, "key_a", "key_b", "tag_a", "tag_b")
 
 
@@ -45,21 +48,40 @@ def shortened(tag: Column, letters: int) -> Column:
     return out
 
 
+def segments(tag: Column, distance: int) -> Column:
+    """Array of the (number, letters) of distance + 1 pieces of a tag; of two tags within the distance one piece at least is left whole."""
+    cuts = [i * x.TAG_WIDTH // (distance + 1) for i in range(distance + 2)]
+    return F.array(*(F.struct(F.lit(i).alias("i"), F.substring(tag, a + 1, b - a).alias("s")) for i, (a, b) in enumerate(pairwise(cuts))))
+
+
+def shifted_segments(tag: Column, distance: int) -> Column:
+    """Array of the (number, letters) that a tag has where those pieces may stand: as lengths are equal, half the distance aside at most."""
+    cuts = [i * x.TAG_WIDTH // (distance + 1) for i in range(distance + 2)]
+    places = [(i, a + shift, b - a) for i, (a, b) in enumerate(pairwise(cuts)) for shift in range(-(distance // 2), distance // 2 + 1) if 0 <= a + shift and b + shift <= x.TAG_WIDTH]
+    return F.array_distinct(F.array(*(F.struct(F.lit(i).alias("i"), F.substring(tag, at + 1, n).alias("s")) for i, at, n in places)))
+
+
 def tag_edges(tags: DataFrame, distance: int) -> DataFrame:
     """Pairs within ``distance``.
 
     Tags are of one length, so two within the distance agree after ``distance`` letters are taken out
-    of each.  Blocks of many tags are joined on what is left, and only near tags meet; blocks of few
-    on the block, which is less work there, as are distances above ``MOST_SHORTENED``.  Then the
-    bound is tested before the distance.
+    of each; above ``MOST_SHORTENED`` letters, one of distance + 1 pieces of the one stands in the
+    other, hardly moved.  Blocks of many tags are joined on what is left, or on pieces; blocks of few
+    on the block, which is less work there.  From the tags' length on every pair is near, and the
+    block's pairs are the result.  The bound is tested before the distance.
     """
-    if distance > MOST_SHORTENED:
+    if distance >= x.TAG_WIDTH:
         met = _met(tags, BLOCK)
     else:
         sizes = tags.groupBy(*BLOCK).agg((F.count("*") > FEW).alias("many"))
         sized = saved(tags.select(*BLOCK, "tag_key", "tag16").join(sizes, BLOCK), "sized-tags")
-        many = sized.where("many").withColumn("rest", F.explode(shortened(F.col("tag16"), distance)))
-        met = _met(sized.where("NOT many"), BLOCK).unionByName(_met(many, [*BLOCK, "rest"]).distinct())
+        many = sized.where("many")
+        if distance <= MOST_SHORTENED:
+            across = _met(many.withColumn("rest", F.explode(shortened(F.col("tag16"), distance))), [*BLOCK, "rest"])
+        else:
+            whole, moved = (many.withColumn("piece", F.explode(f(F.col("tag16"), distance))) for f in (segments, shifted_segments))
+            across = _met(whole, [*BLOCK, "piece"], moved)
+        met = _met(sized.where("NOT many"), BLOCK).unionByName(across.distinct())
     near = (x.lower_bound(F.col("tag_a"), F.col("tag_b")) <= distance) & (F.levenshtein("tag_a", "tag_b", distance) >= 0)
     return met.where(near).select(*BLOCK, "key_a", "key_b", "tag_a", "tag_b", F.levenshtein("tag_a", "tag_b").alias("dist"))
 
@@ -99,21 +121,8 @@ def _components(edges: pd.DataFrame) -> pd.DataFrame:
 
 
 def spread_labels(edges: DataFrame) -> DataFrame:
-    """(region, block_id, tag_key, label): the smallest key of each component, without a task for a block.
-
-    Each round a tag takes the smallest label around it, then its label's label, so long chains
-    shrink to half; every round is a written table.
-    """
-    both = saved(edges.union(edges.select(*BLOCK, F.col("key_b"), F.col("key_a"))).toDF(*BLOCK, "tag_key", "beside"), "both-edges")
-    labels = saved(both.groupBy(*BLOCK, "tag_key").agg(F.least("tag_key", F.min("beside")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("tag_key", "beside"), [*BLOCK, "beside"]).groupBy(*BLOCK, "tag_key").agg(F.min("label").alias("low"))
-        new = saved(labels.join(near, [*BLOCK, "tag_key"]).select(*BLOCK, "tag_key", "label", F.least("label", "low").alias("new")), "new-labels")
-        further = new.select(*BLOCK, F.col("tag_key").alias("new"), F.col("new").alias("further"))
-        labels = saved(new.join(further, [*BLOCK, "new"]).select(*BLOCK, "tag_key", F.col("further").alias("label"), (F.col("label") != F.col("further")).alias("moved")), "labels")
-        if labels.where("moved").isEmpty():
-            return labels.drop("moved")
-        labels = labels.drop("moved")
+    """(region, block_id, tag_key, label): the smallest key of each component, without a task for a block or a tag."""
+    return components(edges.withColumnsRenamed({"key_a": "a", "key_b": "b"}), BLOCK).withColumnRenamed("node", "tag_key")
 
 
 def tag_components(tags: DataFrame, distance: int) -> DataFrame:
@@ -121,6 +130,9 @@ def tag_components(tags: DataFrame, distance: int) -> DataFrame:
 
     With a minimum of one point and each its own neighbour, density clustering is just that.
     """
+    if distance >= x.TAG_WIDTH:  # every pair is near
+        least = tags.groupBy(*BLOCK).agg(F.min("tag_key").alias("allele_key"))
+        return tags.join(least, BLOCK)
     edges = saved(tag_edges(tags, distance).select(*BLOCK, "key_a", "key_b"), "tag-edges")
     large = edges.groupBy(*BLOCK).agg(F.count("*").alias("n")).where(F.col("n") > TASK_EDGES).select(*BLOCK)
     large = saved(large, "large-blocks")

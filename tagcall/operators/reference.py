@@ -31,12 +31,17 @@ def pieces(reference: DataFrame) -> DataFrame:
     return d.select("region", "piece", F.array_join(filled, "").cast("binary").alias("letters"))
 
 
-def slices(reference: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(region, block_id, start, end, ref_seq): letters of each block's span; a block asks for its few pieces by an equi-join."""
+def slices(reference: DataFrame, blocks: DataFrame, gaps: bool = False) -> DataFrame:
+    """(region, block_id, start, end, ref_seq): letters of each block's span; a block asks for its few pieces by an equi-join.
+
+    Positions without a letter are left out, or blanks if ``gaps``.
+    """
     spans = blocks.where(F.col("end") > F.col("start")).select("region", "block_id", "start", "end", F.explode(F.sequence(piece_of(F.col("start")), piece_of(F.col("end") - 1))).alias("piece"))
     first = F.greatest(F.col("start") - F.col("piece") * PIECE, F.lit(0))
     n = F.least(F.col("end") - F.col("piece") * PIECE, F.lit(PIECE)) - first
     part = F.substring("letters", (first + 1).cast("int"), n.cast("int")).cast("string")
     got = spans.join(pieces(reference), ["region", "piece"]).select("region", "block_id", "start", "end", F.struct("piece", part.alias("part")).alias("p"))
     got = got.groupBy("region", "block_id", "start", "end").agg(F.array_sort(F.collect_list("p")).alias("s"))
-    return got.select("region", "block_id", "start", "end", F.replace(F.array_join(F.transform("s", lambda v: v["part"]), ""), F.lit(" "), F.lit("")).alias("ref_seq"))
+    text = F.array_join(F.transform("s", lambda v: v["part"]), "")
+    text = F.rpad(text, (F.col("end") - F.col("start")).cast("int"), F.lit(" ")) if gaps else F.replace(text, F.lit(" "), F.lit(""))
+    return got.select("region", "block_id", "start", "end", text.alias("ref_seq"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import percent
+from ..tables import saved
 from .cluster import BLOCK, pair_counts
 
 #: Alleles at a position that have a bucket of their own; more go to bucket 0.
@@ -21,12 +22,16 @@ CRC_SEED, CRC_ZEROS = 0x12345678, 1000
 def summary(values: DataFrame, column: str) -> DataFrame:
     """n, min, q1, q2, q3, max, sum, mean, stddev, stderr, var of whole numbers; zeros if there are none.
 
-    q_k is the value at rank floor(k n / 4) from 0; variance is the population's.  Works on counts of
-    distinct values, so one task sees no more than those.
+    q_k is the value at rank floor(k n / 4) from 0; variance is the population's.  Counts of distinct
+    values are dealt by range; ranks add up inside a part, and one array with a number for each part
+    says how many values lie before it.
     """
     v = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("long").alias("v")).agg(F.count("*").alias("c"))
-    up_to = F.sum("c").over(Window.orderBy("v"))
-    d = v.withColumns({"top": up_to, "n": F.sum("c").over(Window.partitionBy())})
+    v = saved(v.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "value-counts")
+    parts = v.groupBy("part").agg(F.sum("c").alias("c")).agg(F.collect_list(F.struct("part", "c")).alias("parts"))
+    before = lambda p: F.aggregate("parts", F.lit(0).cast("long"), lambda s, x: s + F.when(x["part"] < p, x["c"]).otherwise(0))
+    d = v.withColumn("top", F.sum("c").over(Window.partitionBy("part").orderBy("v"))).crossJoin(F.broadcast(parts))  # one row
+    d = d.withColumns({"top": F.col("top") + before(F.col("part")), "n": before(F.lit(1 << 30))})
 
     def quartile(k: int) -> Column:
         return F.min(F.when(F.col("top") > F.floor(k * F.col("n") / 4), F.col("v")))

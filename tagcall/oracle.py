@@ -182,6 +182,21 @@ _SELECTS = {
     "dropout": _DROPOUT.format("all", "at_pos") + " UNION ALL " + _DROPOUT.format("variants", "(SELECT * FROM vrows WHERE NOT is_insertion)"),
 }
 
+#: Every counter of a run, each as a query of one number.
+_COUNTERS = {
+    "blocks": "SELECT count(*) FROM blocks", "reads_in_blocks": "SELECT sum(n_reads) FROM blocks", "valid_blocks": "SELECT count(*) FROM vb", "reads_in_valid_blocks": "SELECT sum(n_reads) FROM vb", "valid_length": "SELECT sum(length) FROM vb",
+    "leven_total": "SELECT count(*) FROM pairs", "leven_complete": "SELECT count(*) FROM pairs WHERE bound <= 2", "tags_before": "SELECT count(*) FROM tags", "reads_before": "SELECT sum(n_reads) FROM tags",
+    "alleles_after": "SELECT count(*) FROM alleles", "reads_after": "SELECT sum(n_reads) FROM alleles", "blocks_after": "SELECT count(DISTINCT (region, block_id)) FROM alleles",
+    **{c: f"SELECT {c} FROM counters" for c in ("total", "conclusive", "ambiguous", "total_ins", "conclusive_ins", "ambiguous_ins", "total_del", "conclusive_del", "inconclusive_del")},
+    "reference_bases": "SELECT sum(length) FROM vb WHERE (region, block_id) IN (SELECT (region, block_id) FROM alleles)", "positions_tested": "SELECT count(*) FROM at_pos", "positions_with_variants": "SELECT count(*) FROM vp", "reads_in_file": "SELECT count(*) FROM aln",
+}
+#: The order in which the fingerprint takes them; 0 for those that are never kept.
+_PRINTED = ("0", "0", "valid_blocks", "reads_in_file", "0", "reads_in_valid_blocks", "0", "tags_before", "alleles_after", "reference_bases", "positions_tested", "positions_with_variants", "leven_complete", "leven_total", "total", "conclusive", "ambiguous", "blocks_after", "total_ins", "conclusive_ins", "ambiguous_ins", "total_del", "conclusive_del", "inconclusive_del")
+_SELECTS["stats_run"] = " UNION ALL ".join(f"SELECT '{k}' AS counter, coalesce(({q}), 0)::BIGINT AS n" for k, q in sorted(_COUNTERS.items()))
+_SELECTS["crc"] = f"""SELECT '0x' || printf('%08x', xor(list_reduce(zeros || bytes, lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1]), xor({0x12345678}, 4294967295)), 4294967295)) AS crc32 FROM (
+SELECT list_transform(range(8000), lambda i: 0::BIGINT) AS zeros, flatten(list_transform([{", ".join(k if k == "0" else f"coalesce(({_COUNTERS[k]}), 0)::BIGINT" for k in _PRINTED)}], lambda v: list_transform(range(8), lambda i: (v >> (8 * i)::INT) & 255))) AS bytes,
+list_transform(range(256), lambda n: list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS tbl)"""
+
 ORACLE = {k: f"{_WITH} {v}" for k, v in _SELECTS.items()} | {
     "sessions": """WITH d AS (SELECT user_id, epoch(ts)::BIGINT AS t FROM (SELECT user_id, date_trunc('second', ts) AS ts FROM events)),
 b AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS before FROM d),

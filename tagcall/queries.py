@@ -23,8 +23,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _RUNS: dict[tuple[str, str], Caller] = {}
 
 
-def forget() -> None:
-    _RUNS.clear()
+def forget(fixtures: bool = True) -> None:
+    """Start anew; without the derived alignments and reference if they are not fixtures to keep."""
+    for key, run in list(_RUNS.items()):
+        _RUNS.pop(key) if fixtures else _RUNS.update({key: Caller(run.alignments, run.reference)})
 
 
 def caller(spark: SparkSession, sf_dir: str) -> Caller:

@@ -44,3 +44,6 @@ def test_header_order(spark, tmp_path, capsys):
     lines = [line.split() for line in capsys.readouterr().out.splitlines() if line.startswith("TMPVARCALL")]
     assert [next(w for w in line if w in names) for line in lines] == names
     assert main([*args, "-r", "chr7"]) == 2
+    assert main(["-i", args[1], "-f", args[3], "-vvvv"]) == 0
+    views = [line for line in capsys.readouterr().out.splitlines() if line.startswith(("block 1", "clusters of", "allele 1"))]
+    assert [next(w for w in line.replace(":", "").split() if w in names) for line in views] == names * 3  # blocks, clusters, alleles in order

@@ -108,7 +108,7 @@ def random_tags(spark, seed, many):
     return d.withColumns({"tag16": x.tag16(F.col("tag")), "tag_key": x.tag_key(F.col("tag"))}).drop("tag")
 
 
-@pytest.mark.parametrize("distance", [0, 1, 2, 3, 5])
+@pytest.mark.parametrize("distance", [0, 1, 2, 3, 4, 5, 6, 16])
 def test_tag_join_like_all_pairs(spark, distance):
     """The join on shortened tags, and the counts without pairs, against all pairs."""
     d = random_tags(spark, distance, 120)
@@ -261,3 +261,99 @@ def test_votes_like_rows_of_bases(spark, phred):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == sorted(map(tuple, want.collect())) and votes.base_votes(d.limit(0), phred, keep).count() == 0
+
+
+@pytest.fixture
+def many_parts(spark):
+    """A hundred shuffle partitions that stay apart, and no broadcast that isn't asked for."""
+    conf = {"spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_blocks_of_a_hot_start(spark, many_parts):
+    """Half of all reads begin at one position: blocks are right, and no task has more than a fiftieth of the rows."""
+    r = random.Random(2)
+    spans = sorted([(5000, 5030)] * 10_000 + [(s, s + r.randrange(5, 60)) for s in (r.randrange(3_000_000) for _ in range(10_000))])
+    want, top, n = {}, None, 0
+    for a, b in spans:
+        n += top is None or a >= top + 10
+        top, want[a] = b if top is None else max(top, b), n
+    d = blocks.with_blocks(spark.createDataFrame([(f"r{i}", "c", a, b) for i, (a, b) in enumerate(spans)], "qname string, region string, start long, end long"))
+    d = d.select("start", "block_id", F.spark_partition_id().alias("task")).toPandas()
+    assert len(d) == 20_000 and (d["start"].map(want) == d["block_id"]).all()
+    assert d["task"].value_counts().max() <= 400
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 3000])
+def test_ranks_over_parts(spark, many_parts, n):
+    """Quartiles where values lie in many parts."""
+    r = random.Random(n)
+    v = sorted(r.randrange(-500, 500) for _ in range(n))
+    got = stats.summary(spark.createDataFrame([(x,) for x in v], "v long"), "v").first()
+    assert [got[c] for c in ("n", "min", "q1", "q2", "q3", "max", "sum")] == [n, *((v[0], v[n // 4], v[2 * n // 4], v[3 * n // 4], v[-1]) if v else [0] * 5), sum(v)]
+
+
+@pytest.mark.parametrize("kind", ["star", "chain", "random"])
+def test_components_by_stars(spark, many_parts, kind):
+    """A star of 10^5 leaves whose centre is neither first nor last, a chain of 10^4 in any order, and random graphs of two keys."""
+    from tagcall.operators.components import components
+
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    r = random.Random(5)
+    if kind == "star":
+        edges = spark.range(100_000).where("id <> 50000").select(F.lit("c").alias("region"), F.lit(50_000).cast("long").alias("a"), F.col("id").alias("b"))
+        got = components(edges, ["region"])
+        assert got.count() == 100_000 and got.select("label").distinct().collect() == [(0,)]
+        return
+    if kind == "chain":
+        names = list(range(10_000))
+        r.shuffle(names)
+        pairs, want = [("c", a, b) for a, b in zip(names[:-1], names[1:], strict=True)], {("c", i): 0 for i in range(10_000)}
+    else:
+        pairs = [(k, r.randrange(400), r.randrange(400)) for k in "ab" for _ in range(260)]
+        up = {}
+        root = lambda x: x if up.setdefault(x, x) == x else root(up[x])
+        for k, a, b in pairs:
+            if a != b:
+                a, b = root((k, a)), root((k, b))
+                up[max(a, b)] = min(a, b)
+        want = {x: root(x)[1] for x in up}
+    rows = components(spark.createDataFrame(pairs, "region string, a long, b long"), ["region"]).collect()
+    assert len(rows) == len(want) and {(x["region"], x["node"]): x["label"] for x in rows} == want
+
+
+def test_join_of_a_hot_key(spark, many_parts):
+    """Rows of a key that holds a third of them stay spread over the tasks that had them."""
+    from tagcall.operators.components import spread_join
+
+    rows = spark.range(30_000, numPartitions=60).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), "id")
+    keys = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    d = spread_join(rows, keys, ["k"], 30_000).select("k", "top", F.spark_partition_id().alias("task")).toPandas()
+    assert len(d) == 30_000 and (d.loc[d["k"] == -1, "top"] == 29_997).all() and d["task"].value_counts().max() <= 30_000 / 50
+
+
+def test_display_of_an_allele(spark):
+    from tagcall.operators import display
+
+    ref = spark.createDataFrame([("c", i, "ACGTACGTACGT"[i]) for i in range(12)], "region string, pos long, ref_base string")
+    seqs = [("8M", 0, "ACGTACGT"), ("4M2I4M", 0, "ACGTGGACGT"), ("4M1I4M", 0, "ACGTGACTT"), ("2M2D6M", 0, "ACACGTAC"), ("3S6M", 2, "TTTGTACGA")]
+    rows = [(f"q{i}_F1_ACGTACGT_F2_NA_R1_NA_R2_NA", "c", pos, 60, 99, ops, seq, "I" * len(seq)) for i, (ops, pos, seq) in enumerate(seqs)]
+    run = Caller(spark.createDataFrame(rows, ALN), ref)
+    tag = "TGCATGCANNNNNNNN"
+    assert display.display_allele(run, "c", 1, 1).splitlines() == [
+        "allele 1 of block 1 in c: 0 to 10, 5 reads, depth 5",
+        "         0 reference             ACGT**ACGTAC",
+        f"         0 FR F {tag} ....**....",
+        f"         0 FR F {tag} ....gg....",
+        f"         0 FR F {tag} ....g*..T.",
+        f"         0 FR F {tag} ..--**......",
+        f"         2 FR F {tag}   ..**...A",
+    ]
+    assert len(display.display_allele(run, "c", 1, 1, most=2).splitlines()) == 4 and display.display_allele(run, "c", 1, 9) is None
+    assert display.blocks_text(run, 1).first()["text"] == "block 1 in c: 0 to 10, 10 positions, 5 reads, depth 5\n  0 8 q0_F1_ACGTACGT_F2_NA_R1_NA_R2_NA 8M"
+    assert display.clusters_text(run).first()["text"] == f"clusters of block 1 in c\n  {tag}, 5 reads of 1 tags <- {tag}*5"
