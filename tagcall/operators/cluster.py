@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import pairwise
+from collections.abc import Iterator
+from itertools import groupby, pairwise
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,8 +104,8 @@ def pair_counts(tags: DataFrame, distance: int) -> DataFrame:
     return total.crossJoin(across)  # one row each
 
 
-def _components(edges: pd.DataFrame) -> pd.DataFrame:
-    """Union-find over one block's edges; the label is the smallest key."""
+def _components(edges: Iterator[tuple[str, str]]) -> dict[str, str]:
+    """Union-find over one block's edges; the label of a key is the smallest one of its component."""
     up: dict[str, str] = {}
 
     def root(k: str) -> str:
@@ -112,12 +114,33 @@ def _components(edges: pd.DataFrame) -> pd.DataFrame:
             k = up[k]
         return k
 
-    for a, b in zip(edges["key_a"], edges["key_b"], strict=True):
+    for a, b in edges:
         a, b = root(a), root(b)
         if a != b:
             up[max(a, b)] = min(a, b)
-    keys = sorted(up)
-    return pd.DataFrame({"region": edges["region"].iloc[0], "block_id": edges["block_id"].iloc[0], "tag_key": keys, "label": [root(k) for k in keys]})
+    return {k: root(k) for k in up}
+
+
+def block_labels(edges: DataFrame) -> DataFrame:
+    """(region, block_id, tag_key, label) of blocks whose edges fit a task; sorted, so a task holds one block at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [*BLOCK, "tag_key", "label"])
+
+        for (region, block), own in groupby(rows, key=itemgetter(0, 1)):
+            out += [(region, block, k, label) for k, label in _components((a, b) for _, _, a, b in own).items()]
+            if len(out) > 10_000:
+                yield batch()
+                out = []
+        if out:
+            yield batch()
+
+    return edges.repartition(*BLOCK).sortWithinPartitions(*BLOCK).select(*BLOCK, "key_a", "key_b").mapInArrow(run, _LABELS)
 
 
 def spread_labels(edges: DataFrame) -> DataFrame:
@@ -137,9 +160,9 @@ def tag_components(tags: DataFrame, distance: int) -> DataFrame:
     large = edges.groupBy(*BLOCK).agg(F.count("*").alias("n")).where(F.col("n") > TASK_EDGES).select(*BLOCK)
     large = saved(large, "large-blocks")
     if large.isEmpty():
-        labels = edges.groupBy(*BLOCK).applyInPandas(_components, _LABELS)
+        labels = block_labels(edges)
     else:
-        labels = edges.join(large, BLOCK, "left_anti").groupBy(*BLOCK).applyInPandas(_components, _LABELS)
+        labels = block_labels(edges.join(large, BLOCK, "left_anti"))
         labels = labels.unionByName(spread_labels(edges.join(large, BLOCK, "left_semi")))
     return tags.join(labels, [*BLOCK, "tag_key"], "left").withColumn("allele_key", F.coalesce("label", "tag_key")).drop("label")
 

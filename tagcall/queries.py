@@ -33,11 +33,17 @@ def caller(spark: SparkSession, sf_dir: str) -> Caller:
     """The run over one folder's alignments, which are written as a table first."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _RUNS:
-        ev = derived.events(spark, sf_dir)
+        ev = dealt(derived.events(spark, sf_dir).select("event_id"))
         _RUNS[key] = Caller(saved(derived.alignments(ev), "alignments"), saved(derived.reference(ev), "reference"))
     return _RUNS[key]
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of few files over all cores, for what is costly to derive from each."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Whole numbers as BIGINT."""
     return df.select(*(df[c].cast("long").alias(c) if t in ("int", "smallint", "tinyint") else df[c] for c, t in df.dtypes))
