@@ -4,14 +4,17 @@ Every element's subtree is hashed (tag, class, text, children).  Spark counts th
 host that hold a hash; a hash on ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages or more
 is part of the site's template, and its subtrees are deleted.  Inside an article only lists and
 containers that are mostly links can be template, so prose that many pages quote stays.  Elements
-that say what they are (navigation, forms, adverts, comments and so on) go as well, unless they hold
-an article or ``main`` or, on a page with neither, most of its text.  What is left of the articles, else
-of ``main``, else of the page, is the text.  A ``header`` outside of both is the site's, and goes.
+that say what they are (navigation, forms, adverts, comments and so on) go as well, articles among
+them.  What is left of all articles and ``main`` elements, in page order, is the text; those inside
+another are part of it.  If none is left, an element with most of the page's text, links apart, stays
+whatever it is called, and its articles, else the rest of the page, are the text.  A ``header``
+outside of articles and ``main`` is the site's, and goes.
 
 Null html counts as empty and gives an empty text; a null or odd URL belongs to the host with the
 empty name.  Rows that repeat an id are pages of their own, but copies of one page count once for its
 host's template; an empty table gives an empty result.  Unclosed and cut-off markup is read as far as it
-goes.  Other columns are not read.
+goes; elements nested deeper than ``DEEPEST`` are read as children of one that deep, so parsing
+takes time in proportion to the page.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from ._spark import saved, table
 
 MIN_PAGES = 5
 MIN_SHARE = 0.005
+DEEPEST = 512
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = re.compile(r"<(script|style|textarea|title|xmp|iframe|noembed|noframes)\b", re.I)
@@ -59,6 +63,8 @@ _NEUTRAL = frozenset("site page main top bottom left right side bar box block se
 _PAIRS = frozenset(["side-bar", "site-header", "page-header", "skip-link"])
 _HIDDEN = re.compile(r"""\shidden(?=[\s>/=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<([/]?)([A-Za-z][^\s/>]*)((?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+))>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^<]*\Z""", re.S)
+#: What is no text where no tag can end any more.
+_REST = re.compile(r"<!--.*|<!\[CDATA\[.*|<[!?/][^>]*\Z|<[A-Za-z][^<]*\Z", re.S)
 _SPACE = re.compile(r"\s+")
 _LINKS, _PROSE = frozenset(["a"]), frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre br b i em strong span code".split())
 
@@ -73,45 +79,55 @@ class Node:
 
 
 def parse(html: str) -> Node:
-    """The page's tree; forgiving, linear in practice, never fails."""
+    """The page's tree; forgiving, in time proportional to the page, never fails."""
     root = Node("#root", "")
     stack = [root]
-    at, n = 0, len(html)
+    within: dict[str, int] = {}  # open elements of each tag
+    at, n, last = 0, len(html), html.rfind(">")
+
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            within[x.tag] -= 1
+        del stack[i:]
 
     def text(raw: str) -> None:
         if raw:
             stack[-1].children.append(html_lib.unescape(raw) if "&" in raw else raw)
 
     while at < n:
-        m = _TAG.search(html, at)
-        if not m:
+        begin = html.find("<", at)
+        while begin >= 0 and not (m := (_TAG if begin <= last else _REST).match(html, begin)):
+            begin = html.find("<", begin + 1)
+        if begin < 0:
             text(html[at:])
             break
         text(html[at : m.start()])
         at = m.end()
-        if m[2] is None:
+        if m.re is _REST or m[2] is None:
             if m[0].startswith("<![CDATA["):
                 stack[-1].children.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = m[2].lower()
         if m[1]:
+            if not within.get(tag):
+                continue
             if tag == "p" or tag in _BLOCK or tag in _BARRIER:
                 stop = frozenset() if tag in _BARRIER or tag in ("body", "html") else _BARRIER
             else:
                 stop = _BLOCK | _BARRIER
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in stop:
                     break
             continue
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+        if tag in ("html", "body") and within.get(tag):
             continue
-        if tag in _ENDS_P:
+        if tag in _ENDS_P and within.get("p"):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in _BLOCK or stack[i].tag in _BARRIER:
                     break
@@ -119,12 +135,15 @@ def parse(html: str) -> Node:
             ended, barrier = _ENDS[tag]
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in ended:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in barrier:
                     break
         if tag == "body":
-            stack[:] = [x for x in stack if x.tag in ("#root", "html")]
+            kept = [x for x in stack[1:] if x.tag == "html"]
+            close(1)
+            stack += kept
+            within["html"] = len(kept)
         node = Node(tag, m[3])
         stack[-1].children.append(node)
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
@@ -135,7 +154,9 @@ def parse(html: str) -> Node:
                 node.children.append(html_lib.unescape(html[at : end.start() if end else n]))
             at = end.end() if end else n
             continue
-        stack.append(node)
+        if len(stack) < DEEPEST:
+            stack.append(node)
+            within[tag] = within.get(tag, 0) + 1
     return root
 
 
@@ -143,19 +164,21 @@ def named(token: str) -> bool:
     """Does a class or id say that its element is not main text?"""
     low = token.lower()
     parts = [x for x in re.split(r"[-_]+", low) if x]
+    if parts and parts[0] in ("comment", "comments"):
+        return True
     known = [bool(_NAMES.fullmatch(x)) for x in parts]
     return low in _PAIRS or any(known) and all(k or x in _NEUTRAL for k, x in zip(known, parts, strict=True))
 
 
 def dropped(node: Node, in_article: bool) -> bool:
-    """Does the element say itself that it is not main text?  One that holds the page's main text does not."""
+    """Does the element say itself that it is not main text?  Of one that holds most of the page's text only hiding counts."""
     if node.whole:
-        return node.tag in _DROP and node.tag != "form"
+        return node.tag in _DROP and node.tag != "form" or node.tag not in ("html", "body") and bool(_HIDDEN.search(node.attrs))
     if node.tag in _DROP or node.tag == "header" and not in_article:
         return True
     if not node.attrs:
         return False
-    if node.tag not in ("body", "html", "main", "article"):
+    if node.tag not in ("body", "html", "main"):
         for m in _NAMED.finditer(node.attrs):
             if any(map(named, (m[1] or m[2] or m[3] or "").split())):
                 return True
@@ -163,7 +186,7 @@ def dropped(node: Node, in_article: bool) -> bool:
 
 
 def find_wholes(root: Node) -> None:
-    """Mark elements that hold an article or ``main``; on a page with neither, those with most text, links apart."""
+    """Mark the elements with most of the page's text, links apart."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -178,9 +201,8 @@ def find_wholes(root: Node) -> None:
             elif c.tag not in ("script", "style", "noscript", "template", "head"):
                 own[0] += chars[id(c)][0]
                 own[1] += chars[id(c)][1]
-                node.whole |= c.whole or c.tag in ("article", "main")
         chars[id(node)] = [own[0], own[0]] if node.tag in _LINKS else own
-    if not root.whole and (total := chars[id(root)][0]):
+    if total := chars[id(root)][0]:
         for node in order:
             n, links = chars[id(node)]
             node.whole = 2 * n > total and 2 * links <= n
@@ -227,26 +249,29 @@ def key_of(node: Node) -> int:
     return int.from_bytes(node.digest, "big", signed=True)
 
 
+def tops(root: Node, gone: set[int]) -> list[Node]:
+    """Articles and ``main`` elements in page order, without those inside another or inside what is dropped."""
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag in ("article", "main"):
+            out.append(node)
+        else:
+            todo += [c for c in reversed(node.children) if isinstance(c, Node) and id(c) not in gone and not dropped(c, False)]
+    return out
+
+
 def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
     """The page's text without elements of the template and those that say what they are."""
     root = parse(html or "")
-    find_wholes(root)
     gone: set[int] = set()
     if template:
         digest(root)
         gone = {id(c) for c in candidates(root) if key_of(c) in template}
-    articles, mains, todo = [], [], [(root, False)]
-    while todo:
-        node, inside = todo.pop()
-        for c in reversed(node.children):
-            if isinstance(c, Node) and id(c) not in gone and not dropped(c, inside):
-                if c.tag == "article":
-                    articles.append(c)
-                    continue  # its own articles are part of it
-                if c.tag == "main":
-                    mains.append(c)
-                todo.append((c, inside or c.tag == "main"))
-    chosen = articles or mains[:1] or [root]
+    chosen = tops(root, gone)
+    if not chosen:
+        find_wholes(root)
+        chosen = tops(root, gone) or [root]
     blocks, line = [], []
 
     def close() -> None:

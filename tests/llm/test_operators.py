@@ -703,6 +703,36 @@ def test_site_template(spark):
     assert got[20] == "Brandall\nText 20 of the page.\nShared quote.\nBottom line"
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<article>one</article><article>two</article>", "one\ntwo"),
+    ("<div><article><p>one</p></article></div><article>two</article><section><article>three</article></section>", "one\ntwo\nthree"),
+    ("<main>one</main><p>between</p><main>two</main>", "one\ntwo"),
+    ("<main><p>before</p><article>one</article><p>after</p></main><article>two</article>", "before\none\nafter\ntwo"),
+    ("<article><p>text</p><article>inner</article></article>", "text\ninner"),
+    ("<article>text</article><section id='comments'><article class='comment'>first!</article></section>", "text"),
+    ("<article>text</article><div class='related'><article>teaser</article></div>", "text"),
+    ("<div class='sidebar'><article>card</article></div><main>text</main>", "text"),
+    ("<div hidden><article>unseen</article></div><article>text</article>", "text"),
+    ("<article>text<article class='comment'>first!</article></article>", "text"),
+    ("<article>text<div class='comment-body'>a</div><div class='comment-thread'>b</div><p>more</p></article>", "text\nmore"),
+    ("<div>All of the main text is here.</div><section id='comments'><article class='comment'>first!</article></section>", "All of the main text is here."),
+    ("<div class='sidebar'><article>All of the text is in a layout of that name.</article></div><footer>x</footer>", "All of the text is in a layout of that name."),
+])
+def test_html_layouts(page, want):
+    assert html_text.main_text(f"<html><body><nav>menu</nav>{page}<footer>foot</footer></body></html>") == want
+
+
+@pytest.mark.parametrize("piece", ["<a b='", '<a b="', "<b>x</i>", "<i><div><b>x</i>", "<p><b>", "</p>", "<li><b>", "<a b='\">", "<!-", "<td>", "<body>", "<", "<![CDATA["])
+def test_html_parses_in_proportion(piece):
+    """A megabyte of what makes careless parsers quadratic."""
+    import time
+
+    began = time.process_time()
+    html_text.main_text("a > b < c > d " + piece * (1_000_000 // len(piece)))
+    html_text.main_text(f"<article><p>{piece * (200_000 // len(piece))}</p></article>")
+    assert time.process_time() - began < 30
+
+
 def test_html_pages(spark, data):
     """On pages whose article is plain, the text is the article's without its tags."""
     import html
