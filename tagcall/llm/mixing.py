@@ -7,7 +7,7 @@ rest of its source at the next level of a reduction tree.  The sum of the probab
 exact, and as neighbours in a block are of like size, so nearly does the sum of words.
 
 Null text: size 0.  Null source: a source of its own, after the others.  A source without words
-has target 0.  Rows that repeat id and text are rounded as rows of their own.  An empty table gives an
+has target 0.  Rows that repeat id, text and source are rounded as rows of their own.  An empty table gives an
 empty result.  Other columns are not read by ``mix``, and ``repeat_to_mix`` keeps them whatever their names.
 """
 
@@ -23,6 +23,8 @@ MOST_COPIES = 3.0
 #: Documents rounded one after another in one block of the tree.
 BLOCK = 256
 EPS = 1e-9
+#: Rows that repeat another which one task makes from their count.
+REPEATS = 4096
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
@@ -125,20 +127,27 @@ def words_in(text: Column) -> Column:
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(doc_id, row, of, source, size): ``of`` are 128 bits of id and text, ``row`` numbers the rows that repeat them."""
-    of = _identity(docs, id_col, text_col)
+    """(doc_id, row, of, source, size): ``of`` are 128 bits of id, text and source, ``row`` numbers the rows that repeat them.
+
+    Such rows are counted, with map-side combine, and made anew from their count, ``REPEATS`` at a time.
+    """
+    of = _identity(docs, id_col, text_col, source_col)
     sized = saved(docs.select(F.col(id_col).alias("doc_id"), of.alias("of"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")), "mix-rows")
-    again = saved(sized.groupBy("of").agg(F.count("*").alias("rows")).where("rows > 1").select("of"), "mix-repeated")
+    again = saved(sized.groupBy("of").agg(F.count("*").alias("rows")).where("rows > 1"), "mix-repeated")
     if not again.limit(1).count():
-        return sized.withColumn("row", F.struct("of", F.lit(1).alias("nth")))
+        return sized.withColumn("row", F.struct("of", F.lit(1).cast("long").alias("nth")))
     again = small(again, 48)
-    nth = F.row_number().over(Window.partitionBy("of").orderBy("of"))
-    rows = sized.join(again, "of", "left_anti").withColumn("nth", F.lit(1)).unionByName(sized.join(again, "of", "left_semi").withColumn("nth", nth))
+    one = sized.join(again, "of").groupBy("of", "rows").agg(*(F.first(c).alias(c) for c in ("doc_id", "source", "size")))
+    parts = one.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "rows", F.lit(REPEATS).cast("long"))).alias("begin")).repartition("of", "begin")
+    end = F.least(F.col("begin") + REPEATS - 1, "rows")
+    made = parts.select("doc_id", "of", "source", "size", F.explode(F.sequence("begin", end)).alias("nth"))
+    rows = sized.join(again.select("of"), "of", "left_anti").withColumn("nth", F.lit(1).cast("long")).unionByName(made)
     return rows.withColumn("row", F.struct("of", "nth")).drop("nth")
 
 
-def _identity(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    return F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("x"), F.xxhash64(F.lit(1), F.col(text_col), F.lit(2), F.col(id_col)).alias("y"))
+def _identity(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Column:
+    i, t, s = F.col(id_col), F.col(text_col), F.col(source_col)
+    return F.struct(F.xxhash64(i, F.lit(0), t, F.lit(1), s).alias("x"), F.xxhash64(F.lit(1), t, F.lit(2), s, F.lit(3), i).alias("y"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
@@ -150,12 +159,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def repeat_to_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
     """The mix itself: each row, with all its columns, as often as the mix takes it.
 
-    Rows with the same id and text are one row here that is taken as often as all of them.
+    Rows with the same id, text and source are one row here that is taken as often as all of them.
     """
     of, n = free_names(docs, 2)
     taken = copies(_sized(docs, id_col, text_col, source_col), seed).groupBy(F.col("row.of").alias(of))
     taken = saved(taken.agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "mix-taken").where("copies > 0")
-    named = docs.withColumn(of, _identity(docs, id_col, text_col))
+    named = docs.withColumn(of, _identity(docs, id_col, text_col, source_col))
     out = named.join(taken.where("rows = 1").select(of, F.col("copies").alias(n)), of)
     again = taken.where("rows > 1").select(of, F.col("copies").alias(n))
     if again.limit(1).count():

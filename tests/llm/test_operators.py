@@ -9,6 +9,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tagcall.llm import _matching, decontaminate, exact_dedup, html_text, language, mixing, near_dedup, passages, pii, token_store, toxicity
 from tagcall.llm._spark import table
@@ -245,6 +246,18 @@ def test_mixing_columns_and_repeats(spark):
     assert mixing.repeat_to_mix(double).columns == double.columns
 
 
+def test_mixing_repeats_of_several_sources(spark):
+    """One id and text under two sources, and none: each source gets its words, in the mix and in its rows, and reruns agree."""
+    rows = [(1, "a b c", None, "s1")] * 3 + [(1, "a b c", None, "s2")] * 5 + [(1, "a b c", None, None)] * 2 + [(2, "d", None, "s1"), (None, "d", None, "s1"), (2, None, None, "s2")]
+    rows += [(9, "once more", None, "s3")] * 9000
+    d = docs(spark, rows)
+    taken = sorted(map(str, mixing.mix(d).collect()))
+    assert len(taken) == len(rows) and taken == sorted(map(str, mixing.mix(d.repartition(7)).collect()))
+    words = {r["source"]: r["n"] for r in mixing.mix(d).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    made = mixing.repeat_to_mix(d).groupBy("source").agg(F.sum(mixing.words_in(F.col("text"))).alias("n")).collect()
+    assert {r["source"]: r["n"] for r in made} == {s: n for s, n in words.items() if n}
+
+
 def test_mixing_odd(odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD) and all(r["taken"] <= 3 * r["size"] for r in rows)
