@@ -590,27 +590,84 @@ def test_decontamination_fits_all_documents(spark, monkeypatch):
     assert seen == [2600]
 
 
-def test_latent_basis_like_brute_force(spark):
-    r = random.Random(9)
-    rows = [(i, " ".join(f"w{r.randrange(60)}" for _ in range(r.randrange(1, 100))), "en", "a") for i in range(50)]
-    items = decontaminate.Items([(k, " ".join(f"w{r.randrange(60)}" for _ in range(12)), None) for k in range(20)])
-    d = docs(spark, rows)
-    items.weigh(*decontaminate.document_frequencies(d, items))
-    got = decontaminate.latent_basis(d, items, rank=8)
+def latent(spark, rows, items):
+    """The fitted space of rows, and the matrix that it decomposes, worked out plainly."""
+    codes = decontaminate.coded(docs(spark, rows), items)
+    df, n_docs, sums = decontaminate.statistics(codes, items)
+    items.weigh(df, n_docs)
+    sets = [set(t.lower().split()) for _, t, _, _ in rows]
+    held = {w: sum(w in s for s in sets) for s in sets for w in s}
+    assert n_docs == len(rows)
+    assert {int(n) for n in df} <= set(held.values()) | {0} and df.sum() == sum(n for w, n in held.items() if items.find(decontaminate.words([w])[0])[0] >= 0)
     blocks = []
     for _, t, _, _ in rows:
         number = items.find(decontaminate.words([t])[0])
         for k in range(0, len(number), decontaminate.BLOCK):
             row = np.zeros(len(items.vocab))
-            np.add.at(row, (n := number[k : k + decontaminate.BLOCK])[n >= 0], items.weight[n[n >= 0]])
-            some = n[n >= 0]
-            if (length := (items.weight[some] ** 2).sum()) > 0:
-                blocks.append(row / np.sqrt(length))
-    a, own = np.array(blocks), items.vectors()
-    omega = np.random.default_rng(0).standard_normal((own.shape[1], 8))
-    g, h = a.T @ (a @ omega), own.T @ (own @ omega)
-    want, _ = np.linalg.qr(h + 0.1 * np.linalg.norm(h) / np.linalg.norm(g) * g)
-    assert np.abs(got @ got.T - want @ want.T).max() < 1e-4
+            n = number[k : k + decontaminate.BLOCK]
+            np.add.at(row, n[n >= 0], items.weight[n[n >= 0]])
+            blocks.append(row / max(1, (n >= 0).sum()) ** 0.5)
+    own = np.zeros((len(items.seq), len(items.vocab)))
+    for row, s in zip(own, items.seq, strict=True):
+        np.add.at(row, s, items.weight[s])
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    a = np.array(blocks)
+    scale = (decontaminate.PASSAGES * len(own) / (a**2).sum()) ** 0.5
+    return *decontaminate.latent_basis(codes, items, sums), np.vstack([own, scale * a])
+
+
+def test_singular_values_and_vectors_like_numpy(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(f"w{r.randrange(60)}" for _ in range(r.randrange(1, 100))), "en", "a") for i in range(50)]
+    items = decontaminate.Items([(k, " ".join(f"w{r.randrange(60)}" for _ in range(12)), None) for k in range(20)])
+    basis, values, a = latent(spark, rows, items)
+    _, want, v = np.linalg.svd(a, full_matrices=False)
+    assert np.abs(values - want[: len(values)]).max() < 1e-3
+    assert np.abs(basis[:, :8].T @ basis[:, :8] - np.eye(8)).max() < 1e-8
+    assert (np.linalg.norm(a @ basis[:, :8], axis=0) - want[:8]).max() < 1e-3
+    assert np.linalg.svd(basis[:, :8].T @ v[:8].T)[1].min() > 0.99
+
+
+def test_singular_values_of_more_words_than_directions(spark):
+    """Where the range can't hold all directions, the leading ones are near the best, and none is above it."""
+    r = random.Random(10)
+    words = lambda n: " ".join(f"w{int(2000 * r.random() ** 2)}" for _ in range(n))
+    rows = [(i, words(r.randrange(1, 200)), "en", "a") for i in range(400)]
+    items = decontaminate.Items([(k, words(30), None) for k in range(60)])
+    basis, values, a = latent(spark, rows, items)
+    want = np.linalg.svd(a, compute_uv=False)[: len(values)]
+    assert basis.shape[1] == 60 + decontaminate.SKETCH
+    assert (values <= want + 1e-3).all() and (values[:20] >= 0.95 * want[:20]).all()
+
+
+def test_decontamination_paraphrase_recall(spark):
+    """100 items, each in one document with a fifth of its words changed or left out; none in other documents."""
+    r = random.Random(11)
+    word = lambda: f"v{int(20000 * r.random() ** 2)}"
+    bench = [[word() for _ in range(r.randrange(20, 50))] for _ in range(100)]
+
+    def near(item):
+        changed = set(r.sample(range(len(item)), len(item) // 5))
+        return [word() if i in changed else w for i, w in enumerate(item) if i not in changed or r.random() < 0.5]
+
+    rows = [(k, [word() for _ in range(r.randrange(300))] + near(item) + [word() for _ in range(r.randrange(300))]) for k, item in enumerate(bench)]
+    rows += [(1000 + k, [word() for _ in range(r.randrange(10, 600))]) for k in range(300)]
+    d = docs(spark, [(i, " ".join(w), "en", "a") for i, w in rows])
+    b = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(bench)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.decontaminate(d, b).collect()}
+    assert len({(k, k) for k in range(100)} & got) >= 90 and len(got) <= 101
+
+
+def test_decontamination_items_beyond_the_directions(spark, monkeypatch):
+    """Items that a block's space can't hold are taken again, so none is lost."""
+    monkeypatch.setattr(decontaminate, "RANK", 8)
+    monkeypatch.setattr(decontaminate, "SKETCH", 4)
+    monkeypatch.setattr(decontaminate.latent_basis, "__defaults__", (8, 0))
+    bench = [" ".join(f"i{k}w{j}" for j in range(20)) for k in range(30)]
+    d = docs(spark, [(k, f"a b c {t} d e f", "en", "a") for k, t in enumerate(bench)] + [(100, "a b c", "en", "a")])
+    b = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    got = decontaminate.decontaminate(d, b).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == {(k, k) for k in range(30)} and len(got) == 30
 
 
 def test_decontamination_odd(spark, data, odd, none):
