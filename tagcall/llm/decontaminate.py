@@ -98,7 +98,7 @@ class Items:
         for s, a in zip(self.seq, self.answers, strict=True):
             own = np.unique(s)
             rare = own[np.argsort(-self.idf[own], kind="stable")][: (len(own) + 1) // 2]
-            self.telling.append((np.unique(a), True) if len(a) else (rare, False))
+            self.telling.append((frozenset(a.tolist()), True) if len(a) else (frozenset(rare.tolist()), False))
         self.masks = [{} for _ in self.seq]
         for m, s in zip(self.masks, self.seq, strict=True):
             for i, w in enumerate(s.tolist()):
@@ -178,16 +178,21 @@ class Items:
         """Longest common subsequence share, share of the answer's words, and whether both suffice."""
         size = len(self.seq[item])
         words_, whole = self.telling[item]
-        told = float(np.isin(words_, near).mean()) if len(words_) else 1.0
+        near_ = near[near >= 0].tolist()
+        told = len(words_.intersection(near_)) / len(words_) if words_ else 1.0
         if told < (1.0 if whole else ANSWER_SHARE):
             return 0.0, told, False
         mask, full = self.masks[item], (1 << size) - 1
+        own = [m for w in near_ if (m := mask.get(w))]
+        least = max(LCS_SHARE * size, min(LCS_WORDS, size))
+        if len(own) < least:
+            return 0.0, told, False
         s = full
-        for w in near[near >= 0].tolist():  # bit-parallel: a cleared bit is a matched word
-            u = s & mask.get(w, 0)
+        for m in own:  # bit-parallel: a cleared bit is a matched word
+            u = s & m
             s = ((s + u) | (s - u)) & full
         n = size - s.bit_count()
-        return n / size, told, n >= LCS_SHARE * size and n >= min(LCS_WORDS, size)
+        return n / size, told, n >= least
 
 
 def summed(rows: np.ndarray, block: np.ndarray, word: np.ndarray, lo: int, hi: int) -> np.ndarray:
