@@ -64,6 +64,29 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+#: A key is hot if it holds more than one in so many rows, and more than ``DEAL`` of them.
+HOT = 1000
+DEAL = 1000
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key, salts): the fewer than HOT hot keys of a saved table, and over how many tasks to deal the rows of each."""
+    each = max(rows.count() / HOT, DEAL)
+    return rows.groupBy(key).agg(F.ceil(F.count("*") / each).cast("int").alias("salts")).where("salts > 1")
+
+
+def salted_join(rows: DataFrame, side: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
+    """Inner join on ``key``, unique in ``side``: rows of a hot key are dealt by column ``by``.
+
+    Fewer than 2 * HOT rows of ``side`` are repeated for that, whatever the size.
+    """
+    hot = F.broadcast(hot)  # fewer than HOT rows
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("salts")
+    ready = side.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return dealt.join(ready, [key, "salt"]).drop("salt")
+
+
 def crc_mod(column: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % mod, F.lit(0))

@@ -19,9 +19,10 @@ Cartesian tree are its compact windows: all runs between ``left`` and ``right``
    differs from its original, and both are in the result.  Runs that equal the other text's, shingle for shingle, are left to
    the text of the smaller number.  Leaders leave, as they have met the whole key; so do members of which
    no place has NEED keys left.  Rounds go on until no key has a leader and another member.  A key of more
-   than ``HEAVY`` members is split by the next three keys at its place, so by four min-hashes; of pairs
-   with NEED keys that only misses those with two, four keys apart.  No cap on members or partners, and
-   never all pairs of a key at once.
+   than ``HEAVY`` members is split by each other key at its place, so by four min-hashes: a pair with
+   NEED keys meets there still.  No cap on members or partners, and never all pairs of a key at once.
+   What was verified of a text goes on as one row for each place where a passage begins, so no row of a
+   leader grows with its members.
 
 Texts with one word sequence are one node, so exact copies never meet each other.
 
@@ -39,8 +40,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import spread_join
 from ._matching import Sequence, both_ways, equal_runs, merged
-from ._spark import saved, small, table
+from ._spark import BROADCAST_BYTES, hot_keys, salted_join, saved, small, table
 from ._text import U, chunks, fingerprints, mix, powers, shingles, words
 
 SHINGLE = 5
@@ -253,14 +255,17 @@ def _held(rows: DataFrame) -> DataFrame:
     return rows.select("nid", "places", "text").mapInArrow(run, _HELD)
 
 
-_JUDGED = "a long, b long, spans array<struct<a0: long, a1: long, b0: long, b1: long, similarity: double>>, same array<struct<b0: long, b1: long>>"
+_JUDGED = "a long, b long, a_met boolean, b_met boolean, spans array<struct<a0: long, a1: long, b0: long, b1: long, similarity: double>>, same array<struct<b0: long, b1: long>>"
 _SIDE = ["grams", "starts", "offs"]
 #: Bytes of shingles that a worker keeps sorted at hand.
 _KEPT = 1 << 24
 
 
 def _verify(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Rows (a, b, met, regions of both) to verified spans and b's equal runs, in shingles."""
+    """Rows (a, b, met, regions of both) to verified spans and b's equal runs, in shingles.
+
+    a_met, b_met: whether the other was the leader of one of its keys.
+    """
     span = pa.struct([("a0", pa.int64()), ("a1", pa.int64()), ("b0", pa.int64()), ("b1", pa.int64()), ("similarity", pa.float64())])
     equal = pa.struct([("b0", pa.int64()), ("b1", pa.int64())])
 
@@ -281,11 +286,13 @@ def _verify(pairs: DataFrame, similarity: float) -> DataFrame:
             of_a, pos, bits = (met.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("of_a", "pos", "bits"))
             weight, (_, begin, end) = np.bitwise_count(bits).astype(np.int64), unpack(pos)
             places = [[np.array(x, np.int64) for x in batch.column(i).to_pylist()] for i in (4, 5, 7, 8)]
-            spans, same = [], []
+            spans, same, a_met, b_met = [], [], [], []
             for i in range(batch.num_rows):
                 spans.append([])
                 same.append([])
                 own = slice(met_off[i], met_off[i + 1])
+                a_met.append(bool(of_a[own].any()))
+                b_met.append(not of_a[own].all())
                 # swept where all places are in one text, so on one scale
                 if (of_a[own][0] == of_a[own]).all() and depth(begin[own], end[own], weight[own]).max() < NEED:
                     continue
@@ -304,7 +311,7 @@ def _verify(pairs: DataFrame, similarity: float) -> DataFrame:
                     spans[-1].append({"a0": a0, "a1": a1, "b0": b0, "b1": b1, "similarity": j})
                 if spans[-1]:
                     same[-1] = [dict(zip(("b0", "b1"), placed(lo, hi, *y), strict=True)) for lo, hi in equal_runs(*sides, MIN_SHINGLES)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(span)), pa.array(same, pa.list_(equal))], ["a", "b", "spans", "same"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(a_met), pa.array(b_met), pa.array(spans, pa.list_(span)), pa.array(same, pa.list_(equal))], ["a", "b", "a_met", "b_met", "spans", "same"])
 
     return pairs.select("a", "b", "met", *(f"{c}_{s}" for s in "ab" for c in _SIDE)).mapInArrow(run, _JUDGED)
 
@@ -317,13 +324,18 @@ def _candidates(meets: DataFrame) -> DataFrame:
 
 
 def deepened(key: np.ndarray, pos: np.ndarray, bits: np.ndarray, open_: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, ...]:
-    """A node's members, where each of a heavy key gives way to its joins with those of the next three keys."""
+    """A node's members, where each of a heavy key gives way to its joins with those of the other keys.
+
+    Two heavy ones are joined once; the joined key is the same whichever of the two was heavy.
+    """
     f, begin, end = unpack(pos)
     rows = [(key[~heavy], pos[~heavy], bits[~heavy], open_[~heavy])]
     for i in np.flatnonzero(heavy).tolist():
         lo, hi = np.maximum(begin, begin[i]), np.minimum(end, end[i])
-        j = np.flatnonzero(((f - f[i]) % KEYS - 1 < 3) & (f != f[i]) & (hi - lo >= MIN_SHINGLES))
-        joined = mix(mix(key[j].view(U)) + key[i : i + 1].view(U)).view(np.int64)
+        j = np.flatnonzero((f != f[i]) & (~heavy | (f > f[i])) & (hi - lo >= MIN_SHINGLES))
+        own, other = np.broadcast_to(key[i], len(j)).view(U), key[j].view(U)
+        first = f[j] < f[i]
+        joined = mix(mix(np.where(first, own, other)) + np.where(first, other, own)).view(np.int64)
         rows.append((joined, f[i] << 2 * _BITS | lo[j] << _BITS | hi[j], bits[j] | bits[i], open_[j] & open_[i]))
     return tuple(np.concatenate(c) for c in zip(*rows, strict=True))
 
@@ -331,7 +343,7 @@ def deepened(key: np.ndarray, pos: np.ndarray, bits: np.ndarray, open_: np.ndarr
 def remaining(rows: tuple[np.ndarray, ...], leads: tuple[np.ndarray, np.ndarray], spans: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, ...]:
     """A node's members (key, pos, bits, open) of the next round, from those (and heavy) of this one and what was verified.
 
-    leads: row and leader of each meeting; spans: rows (begin, end, other text) of verified passages; same:
+    leads: row and leader of each meeting; spans: rows (begin, end, leader or 0) of verified passages; same:
     (begin, end) of the runs that another text stands for.
     """
     key, pos, bits, open_, heavy = rows
@@ -406,6 +418,23 @@ def _leaders(members: DataFrame, round_: int) -> DataFrame:
     return saved(by_slot.where("lead IS NOT NULL").select("key", "lead").join(whole, "key"), f"passage-leaders-{round_}")
 
 
+def _meets(members: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Members and the leaders of their keys; where the leaders are many, members of hot keys stay where they are."""
+    if leaders.count() * 24 <= BROADCAST_BYTES:
+        return members.join(F.broadcast(leaders), "key")
+    return spread_join(members, leaders, ["key"], members.count())  # fewer than 1,000 hot keys, each with as many leaders as slots
+
+
+def _verified(judged: DataFrame) -> DataFrame:
+    """(nid, lo, hi, other, same) of both texts of each pair: the furthest passage from each place on, for each leader
+    that the text met (0: the other text leads none of its keys), and the runs that another text stands for."""
+    spans = judged.select("a", "b", "a_met", "b_met", F.explode("spans").alias("s"))
+    sides = [spans.select(F.col(x).alias("nid"), F.col(f"s.{x}0").alias("lo"), F.col(f"s.{x}1").alias("hi"), F.when(F.col(f"{x}_met"), F.col(y)).otherwise(0).alias("other"), F.lit(False).alias("same")) for x, y in ("ab", "ba")]
+    equal = judged.select("b", F.explode("same").alias("s")).select(F.col("b").alias("nid"), F.col("s.b0").alias("lo"), F.col("s.b1").alias("hi"), F.lit(0).cast("long").alias("other"), F.lit(True).alias("same"))
+    far = sides[0].unionByName(sides[1]).groupBy("nid", "lo", "other", "same").agg(F.max("hi").alias("hi"))
+    return far.unionByName(equal.distinct())
+
+
 def passage_links(rows: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(nodes of all rows, verified spans between nodes); rows has doc_id, th, text."""
     every = saved(_nodes(rows), "passage-nodes")
@@ -423,18 +452,15 @@ def passage_links(rows: DataFrame, similarity: float = SIMILARITY) -> tuple[Data
     members = members.select("key", "nid", "pos", F.expr(f"shiftleft(1L, cast(shiftright(pos, {2 * _BITS}) AS int))").alias("bits"), F.lit(True).alias("open"))
     judged = rows.sparkSession.createDataFrame([], _JUDGED)
     for round_ in count():
-        meets = saved(members.join(_leaders(members, round_), "key"), f"passage-meets-{round_}")
+        meets = saved(_meets(members, _leaders(members, round_)), f"passage-meets-{round_}")
         if not meets.limit(1).count():
             break
         pairs = saved(_candidates(meets.where("nid <> lead")).join(judged.select("a", "b"), ["a", "b"], "left_anti"), f"passage-pairs-{round_}")
-        for s in "ab":
-            pairs = pairs.join(held.select(F.col("nid").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in _SIDE)), s)
+        for s, by, hot in [("a", "b", hot_keys(pairs, "a")), ("b", "a", hot_keys(pairs, "b"))]:
+            pairs = salted_join(pairs, held.select(F.col("nid").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in _SIDE)), s, by, hot)
         new = saved(_verify(pairs, similarity), f"passage-judged-{round_}")
         judged = judged.union(new)
-        s = new.select("a", "b", F.explode("spans").alias("s"))
-        s = s.select(F.col("a").alias("nid"), F.col("s.a0").alias("lo"), F.col("s.a1").alias("hi"), F.col("b").alias("other"), F.lit(False).alias("same")).union(s.select(F.col("b").alias("nid"), F.col("s.b0").alias("lo"), F.col("s.b1").alias("hi"), F.col("a").alias("other"), F.lit(False).alias("same")))
-        s = s.union(new.select("b", F.explode("same").alias("s")).select("b", "s.b0", "s.b1", F.lit(0).cast("long"), F.lit(True)).distinct())
-        s = s.groupBy("nid").agg(F.collect_list(F.struct("lo", "hi", "other", "same")).alias("s"))
+        s = _verified(new).groupBy("nid").agg(F.collect_list(F.struct("lo", "hi", "other", "same")).alias("s"))
         heavy = (F.col("n") > HEAVY).alias("heavy")
         if LEADERS[min(round_, len(LEADERS) - 1)] == 1:
             left = meets.where("nid <> lead").select("key", "nid", "pos", "bits", "open", heavy, F.array("lead").alias("leads"))
