@@ -262,10 +262,7 @@ _KEPT = 1 << 24
 
 
 def _verify(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Rows (a, b, met, regions of both) to verified spans and b's equal runs, in shingles.
-
-    a_met, b_met: whether the other was the leader of one of its keys.
-    """
+    """Rows (a, b, a_met, b_met, regions of both) to verified spans and b's equal runs, in shingles."""
     span = pa.struct([("a0", pa.int64()), ("a1", pa.int64()), ("b0", pa.int64()), ("b1", pa.int64()), ("similarity", pa.float64())])
     equal = pa.struct([("b0", pa.int64()), ("b1", pa.int64())])
 
@@ -281,23 +278,13 @@ def _verify(pairs: DataFrame, similarity: float) -> DataFrame:
         size = 0
         for batch in batches:
             ids = [batch.column(i).to_pylist() for i in (0, 1)]
-            met = batch.column(2)
-            met_off = met.offsets.to_numpy() - met.offsets[0].as_py()
-            of_a, pos, bits = (met.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("of_a", "pos", "bits"))
-            weight, (_, begin, end) = np.bitwise_count(bits).astype(np.int64), unpack(pos)
-            places = [[np.array(x, np.int64) for x in batch.column(i).to_pylist()] for i in (4, 5, 7, 8)]
-            spans, same, a_met, b_met = [], [], [], []
+            places = [[np.array(x, np.int64) for x in batch.column(i).to_pylist()] for i in (5, 6, 8, 9)]
+            spans, same = [], []
             for i in range(batch.num_rows):
                 spans.append([])
                 same.append([])
-                own = slice(met_off[i], met_off[i + 1])
-                a_met.append(bool(of_a[own].any()))
-                b_met.append(not of_a[own].all())
-                # swept where all places are in one text, so on one scale
-                if (of_a[own][0] == of_a[own]).all() and depth(begin[own], end[own], weight[own]).max() < NEED:
-                    continue
                 sides = []
-                for k, nids in zip((3, 6), ids, strict=True):
+                for k, nids in zip((4, 7), ids, strict=True):
                     if nids[i] not in kept:
                         if size > _KEPT:
                             kept.clear()
@@ -311,9 +298,33 @@ def _verify(pairs: DataFrame, similarity: float) -> DataFrame:
                     spans[-1].append({"a0": a0, "a1": a1, "b0": b0, "b1": b1, "similarity": j})
                 if spans[-1]:
                     same[-1] = [dict(zip(("b0", "b1"), placed(lo, hi, *y), strict=True)) for lo, hi in equal_runs(*sides, MIN_SHINGLES)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(a_met), pa.array(b_met), pa.array(spans, pa.list_(span)), pa.array(same, pa.list_(equal))], ["a", "b", "a_met", "b_met", "spans", "same"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(spans, pa.list_(span)), pa.array(same, pa.list_(equal))], ["a", "b", "a_met", "b_met", "spans", "same"])
+
+    return pairs.select("a", "b", "a_met", "b_met", *(f"{c}_{s}" for s in "ab" for c in _SIDE)).mapInArrow(run, _JUDGED)
+
+
+def _swept(pairs: DataFrame) -> DataFrame:
+    """Rows (a, b, met) to the pairs of which some place is covered by NEED keys.
+
+    a_met, b_met: whether the other was the leader of one of its keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met = batch.column(2)
+            off = met.offsets.to_numpy() - met.offsets[0].as_py()
+            of_a, pos, bits = (met.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("of_a", "pos", "bits"))
+            weight, (_, begin, end) = np.bitwise_count(bits).astype(np.int64), unpack(pos)
+            keep, a_met, b_met = [], [], []
+            for i in range(batch.num_rows):
+                own = slice(off[i], off[i + 1])
+                a_met.append(bool(of_a[own].any()))
+                b_met.append(not of_a[own].all())
+                # swept where all places are in one text, so on one scale
+                keep.append(a_met[-1] == b_met[-1] or bool(depth(begin[own], end[own], weight[own]).max() >= NEED))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(a_met), pa.array(b_met)], ["a", "b", "a_met", "b_met"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "met", *(f"{c}_{s}" for s in "ab" for c in _SIDE)).mapInArrow(run, _JUDGED)
+    return pairs.mapInArrow(run, "a long, b long, a_met boolean, b_met boolean")
 
 
 def _candidates(meets: DataFrame) -> DataFrame:
@@ -455,7 +466,7 @@ def passage_links(rows: DataFrame, similarity: float = SIMILARITY) -> tuple[Data
         meets = saved(_meets(members, _leaders(members, round_)), f"passage-meets-{round_}")
         if not meets.limit(1).count():
             break
-        pairs = saved(_candidates(meets.where("nid <> lead")).join(judged.select("a", "b"), ["a", "b"], "left_anti"), f"passage-pairs-{round_}")
+        pairs = saved(_swept(_candidates(meets.where("nid <> lead"))).join(judged.select("a", "b"), ["a", "b"], "left_anti"), f"passage-pairs-{round_}")
         for s, by, hot in [("a", "b", hot_keys(pairs, "a")), ("b", "a", hot_keys(pairs, "b"))]:
             pairs = salted_join(pairs, held.select(F.col("nid").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in _SIDE)), s, by, hot)
         new = saved(_verify(pairs, similarity), f"passage-judged-{round_}")
