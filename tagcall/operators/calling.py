@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as x
-from .reference import letter_at, piece_of, pieces
+from .reference import letter_at, stretch_of, stretches
 
 ALLELE = ["region", "block_id", "allele_id"]
 _LETTERS = x.PRINTED
@@ -16,8 +16,8 @@ _LETTERS = x.PRINTED
 
 def with_reference(votes: DataFrame, reference: DataFrame) -> DataFrame:
     """Adds ref_base and deviations to votes with coverage and counts by letter; positions without a reference letter go."""
-    d = votes.withColumn("piece", piece_of(F.col("pos"))).join(pieces(reference), ["region", "piece"])
-    d = d.withColumn("ref_base", letter_at(F.col("pos"))).drop("piece", "letters").where("ref_base IS NOT NULL")
+    d = votes.withColumn("stretch", stretch_of(F.col("pos"))).join(stretches(reference), ["region", "stretch"])
+    d = d.withColumn("ref_base", letter_at(F.col("pos"))).drop("stretch", "letters").where("ref_base IS NOT NULL")
     same = reduce(lambda rest, b: F.when(F.col("ref_base") == b, F.col(f"n_{b}")).otherwise(rest), _LETTERS, F.lit(0))
     return d.withColumn("deviations", F.col("cov") - same)
 

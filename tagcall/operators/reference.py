@@ -9,18 +9,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PIECE = 1 << 16
+#: Positions of a stretch that single positions are joined to: a row joined to a piece would copy all of it.
+STRETCH = 1 << 8
+#: Letters of a reference that are broadcast, at most.
+BROADCAST_LETTERS = 1 << 25
 
 
 def piece_of(pos: Column) -> Column:
     return F.call_function("div", pos.cast("long"), F.lit(PIECE).cast("long"))
 
 
+def stretch_of(pos: Column) -> Column:
+    return F.floor(pos / STRETCH)
+
+
 def letter_at(pos: Column) -> Column:
-    """The letter of a position in the piece joined to it; null where there is none."""
-    letter = F.substring("letters", (pos % PIECE + 1).cast("int"), F.lit(1)).cast("string")
+    """The letter of a position in the stretch joined to it; null where there is none."""
+    letter = F.substring("letters", (F.pmod(pos, F.lit(STRETCH)) + 1).cast("int"), F.lit(1)).cast("string")
     return F.when((letter != " ") & (letter != ""), letter)
 
 
+def stretches(reference: DataFrame) -> DataFrame:
+    """(region, stretch, letters), to be joined to positions: broadcast where the letters counted are few, else shuffled."""
+    each = pieces(reference)
+    total = each.agg(F.sum(F.length("letters"))).first()[0] or 0
+    within = F.explode(F.sequence(F.lit(0), F.call_function("div", F.length("letters") - 1, F.lit(STRETCH)).cast("int")))
+    d = each.where(F.length("letters") > 0).select("region", "piece", "letters", within.alias("i"))
+    d = d.select("region", (F.col("piece") * (PIECE // STRETCH) + F.col("i")).alias("stretch"), F.substring("letters", F.col("i") * STRETCH + 1, F.lit(STRETCH)).alias("letters"))
+    return F.broadcast(d) if total <= BROADCAST_LETTERS else d.hint("shuffle_hash")
+
+
 def pieces(reference: DataFrame) -> DataFrame:
     """A reference of either form, pieces or rows (region, pos, ref_base), as pieces."""
     if "letters" in reference.columns:

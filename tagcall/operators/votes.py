@@ -50,6 +50,32 @@ def _taken(data: tuple[np.ndarray, np.ndarray, np.ndarray], row: np.ndarray, at:
     return text[np.where(there, begin[row] + at, 0)] if len(text) else np.zeros(len(row), np.uint8), there
 
 
+def _cells(group: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (group, pos), and which of them each entry is.
+
+    Groups' spans lie one after another, without a sort; a batch whose groups are thinly covered is sorted.
+    """
+    if not len(pos):
+        return group, pos, pos
+    n = int(group.max()) + 1
+    low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+    np.minimum.at(low, group, pos)
+    np.maximum.at(high, group, pos)
+    width = np.where(high >= low, high - low + 1, 0)
+    base = np.cumsum(width) - width
+    if int(width.max()) > len(pos) or int(width.sum()) > len(pos):
+        first = int(low.min())
+        span = int(high.max()) - first + 1
+        keys, inverse = np.unique(group * span + pos - first, return_inverse=True)
+        return keys // span, keys % span + first, inverse
+    at = base[group] + pos - low[group]
+    found = np.flatnonzero(np.bincount(at, minlength=int(width.sum())))
+    number = np.zeros(int(width.sum()), np.int64)
+    number[found] = np.arange(len(found))
+    owner = np.searchsorted(base + width, found, "right")
+    return owner, found - base[owner] + low[owner], number[at]
+
+
 def tally(group: np.ndarray, start: np.ndarray, cigars: list[str], seqs: list[str], quals: list[str], mapq: np.ndarray, phred: int) -> dict[str, np.ndarray]:
     """Sums for each (group, position) that a read covers."""
     runs = [covered(c) for c in cigars]
@@ -65,13 +91,11 @@ def tally(group: np.ndarray, start: np.ndarray, cigars: list[str], seqs: list[st
     missing = np.array([x == "*" for x in quals], bool)[r] | ~there
     q = np.where(gone, DELETED_PHRED, np.where(missing, -1, q.astype(np.int64) - 33))
     letter = np.where(~gone & (q < phred), _N, letter)
-    low = int(pos.min()) if len(pos) else 0
-    span = int(pos.max()) - low + 1 if len(pos) else 1
-    keys, inverse = np.unique(group[r] * span + pos - low, return_inverse=True)
-    cell, m = inverse * _ALL + letter, len(keys)
+    owner, place, inverse = _cells(group[r], pos)
+    cell, m = inverse * _ALL + letter, len(owner)
     counts = np.bincount(cell, minlength=m * _ALL).reshape(m, _ALL)
     sums = np.bincount(cell, q, m * _ALL).reshape(m, _ALL).astype(np.int64)
-    out = {"group": keys // span, "pos": keys % span + low, "cov": counts.sum(1), "mapq_sum": np.bincount(inverse, mapq[r], m).astype(np.int64)}
+    out = {"group": owner, "pos": place, "cov": counts.sum(1), "mapq_sum": np.bincount(inverse, mapq[r], m).astype(np.int64)}
     return out | {c: counts[:, i] for i, c in enumerate(COUNTS)} | {c: sums[:, i] for i, c in enumerate(SUMS)}
 
 

@@ -21,6 +21,8 @@ from .tables import folder, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _RUNS: dict[tuple[str, str], Caller] = {}
+#: Events that a task derives reads from.
+DEALT_ROWS = 500_000
 
 
 def forget(fixtures: bool = True) -> None:
@@ -33,15 +35,15 @@ def caller(spark: SparkSession, sf_dir: str) -> Caller:
     """The run over one folder's alignments, which are written as a table first."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _RUNS:
-        ev = dealt(derived.events(spark, sf_dir).select("event_id"))
-        _RUNS[key] = Caller(saved(derived.alignments(ev), "alignments"), saved(derived.reference(ev), "reference"))
+        ev = derived.events(spark, sf_dir).select("event_id")
+        _RUNS[key] = Caller(saved(derived.alignments(dealt(ev, "event_id")), "alignments"), saved(derived.reference(ev), "reference"))
     return _RUNS[key]
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """Rows of few files over all cores, for what is costly to derive from each."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores in order of ``key``, as reads of a file lie by position, so a batch holds whole blocks."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions(), df.count() // DEALT_ROWS)
+    return df.repartitionByRange(n, key).sortWithinPartitions(key)
 
 
 def plain(df: DataFrame) -> DataFrame:
