@@ -22,7 +22,7 @@ def islands(spans: DataFrame, key: str = "region", start: str = "start", end: st
     each bin's largest end and number of openings pass on to later bins, in a window over bins.
     """
     d = spans.groupBy(F.col(key).alias("key"), F.col(start).alias("start")).agg(F.max(end).alias("end"), F.count("*").alias("n"))
-    d = d.withColumn("bin", F.floor(F.col("start") / bin_width))
+    d = saved(d.withColumn("bin", F.floor(F.col("start") / bin_width)), "starts")
     inside = Window.partitionBy("key", "bin").orderBy("start")
     d = d.withColumn("before", F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     bins = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)

@@ -40,7 +40,7 @@ class Caller:
 
     @cached_property
     def blocks(self) -> DataFrame:
-        return blocks.depth(self.reads_in_blocks, cluster.BLOCK)
+        return saved(blocks.depth(self.reads_in_blocks, cluster.BLOCK), "blocks")
 
     @cached_property
     def valid_blocks(self) -> DataFrame:
@@ -52,7 +52,7 @@ class Caller:
 
     @cached_property
     def tags(self) -> DataFrame:
-        return cluster.tag_groups(self.valid_reads)
+        return saved(cluster.tag_groups(self.valid_reads), "tags")
 
     @cached_property
     def clusters(self) -> DataFrame:

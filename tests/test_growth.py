@@ -37,3 +37,8 @@ def test_reads_lie_in_order(spark, data):
     at = F.regexp_extract("qname", r"q(\d+)_", 1).cast("long")
     d = run.alignments.select(F.input_file_name().alias("f"), at.alias("e")).groupBy("f").agg(F.min("e").alias("a"), F.max("e").alias("b"), F.count("*").alias("n")).collect()
     assert all(r["b"] - r["a"] + 1 == r["n"] for r in d)
+
+
+def test_shared_tables_are_written_once(spark, data):
+    run = queries.caller(spark, data)
+    assert run.blocks._written_at and run.tags._written_at
