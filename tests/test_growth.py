@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagcall import queries
 from tagcall.operators import calling, reference, votes
+from tagcall.sources import derived
 
 
 def test_positions_meet_short_stretches(spark):
@@ -42,3 +43,24 @@ def test_reads_lie_in_order(spark, data):
 def test_shared_tables_are_written_once(spark, data):
     run = queries.caller(spark, data)
     assert run.blocks._written_at and run.tags._written_at
+
+
+def test_letters_are_cut_from_tables(spark):
+    """Against the formulas, also for ids below zero; no function is called for each letter of a read."""
+    ids = [*range(-700, 700), 10**9 + 7]
+    d = derived.alignments(spark.createDataFrame([(e,) for e in ids], "event_id long"))
+    assert "lambdafunction" not in d._jdf.queryExecution().optimizedPlan().toString()
+    rem = lambda a, b: a % b if a >= 0 else -(-a % b)  # noqa: E731  with the sign of the dividend
+    div = lambda a, b: a // b if a >= 0 else -(-a // b)
+    got = {r["qname"].split("_")[0][1:]: (r["seq"], r["qual"]) for r in d.collect()}
+    for e in ids:
+        locus, j = div(e, 40), rem(e, 40)
+        mol, off, row = rem(j * 7 + locus, 4), rem(j * 13, 17), div(locus, 5)
+        k, pos = 20 - off, row * 80 + (30 if rem(row, 7) == 3 else 0) + off
+        form = 1 if rem(e, 10) == 1 else mol if mol in (2, 3) else 0
+        seq = ""
+        for q in range(30):
+            p = pos + q - (3 if form == 1 else -2 if form == 2 and q >= k else 2 if form == 3 and q >= k else 0)
+            code = (p * p * 7 + p * 3 + 5) // 11 + ((p * 31 + mol * 7) % 23 == 0) + 2 * ((e * 37 + q * 11) % 47 == 0)
+            seq += "G" if form == 3 and q == k else "T" if form == 3 and q == k + 1 else "ATCG"[code % 4]
+        assert got[str(e)] == (seq, "".join(chr(53 + rem(e + q, 21)) for q in range(30))), e
