@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as x
 from ..params import TAG_SLOTS, Params
 
 
+def _once(d: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Columns of one generated row, so that later filters and columns read them and do not repeat what makes them."""
+    made = F.struct(*(c.alias(name) for name, c in columns.items()))
+    return d.select(*(c for c in d.columns if c not in columns), F.inline(F.array(made)))
+
+
 def with_tags(aln: DataFrame) -> DataFrame:
     """Adds f1, f2, r1, r2 as written in the name."""
-    return aln.withColumns({s.lower(): x.tag_slot(F.col("qname"), i) for i, s in enumerate(TAG_SLOTS)})
+    d = _once(aln, {"pieces": F.split("qname", "_")})
+    return d.withColumns({s.lower(): x.slot_of(F.col("pieces"), i) for i, s in enumerate(TAG_SLOTS)}).drop("pieces")
 
 
 def with_orientation(aln: DataFrame) -> DataFrame:
-    return aln.withColumns({"orientation": x.orientation(F.col("flag")), "is_forward": x.is_forward(F.col("flag"))})
+    return _once(aln, {"orientation": x.orientation(F.col("flag")), "is_forward": x.is_forward(F.col("flag"))})
 
 
 def swap_tags(reads: DataFrame) -> DataFrame:
     """RF reads hold their tags the other way round."""
     rf = F.coalesce(F.col("orientation") == "RF", F.lit(False))
-    return reads.withColumns({a: F.when(rf, F.col(b)).otherwise(F.col(a)) for a, b in (("f1", "r1"), ("r1", "f1"), ("f2", "r2"), ("r2", "f2"))})
+    return _once(reads, {a: F.when(rf, F.col(b)).otherwise(F.col(a)) for a, b in (("f1", "r1"), ("r1", "f1"), ("f2", "r2"), ("r2", "f2"))})
 
 
 def with_mask(reads: DataFrame) -> DataFrame:

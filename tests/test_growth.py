@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tagcall import queries
-from tagcall.operators import calling, reference, votes
+from tagcall.operators import calling, filters, reference, votes
 from tagcall.sources import derived
 
 
@@ -64,3 +64,9 @@ def test_letters_are_cut_from_tables(spark):
             code = (p * p * 7 + p * 3 + 5) // 11 + ((p * 31 + mol * 7) % 23 == 0) + 2 * ((e * 37 + q * 11) % 47 == 0)
             seq += "G" if form == 3 and q == k else "T" if form == 3 and q == k + 1 else "ATCG"[code % 4]
         assert got[str(e)] == (seq, "".join(chr(53 + rem(e + q, 21)) for q in range(30))), e
+
+
+def test_names_are_split_once(spark, data):
+    d = filters.tagged_reads(queries.caller(spark, data).alignments, queries.caller(spark, data).params)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(qname") == 1
