@@ -103,3 +103,31 @@ def test_what_was_verified_is_a_row_for_each_place(spark):
     rows = [(1, 2, True, False, spans[i : i + 1], [{"b0": 0, "b1": 55}]) for i in range(50)] + [(1, 3, False, True, spans[:1], [])]
     got = passages._verified(spark.createDataFrame(rows, passages._JUDGED)).collect()
     assert sorted((x["nid"], x["lo"], x["hi"], x["other"], x["same"]) for x in got) == [(1, 5, 60, 0, False), (1, 5, 109, 2, False), (2, 0, 55, 0, False), (2, 0, 55, 0, True), (3, 0, 55, 1, False)]
+
+
+def test_a_family_of_copies_with_own_changes_does_not_meet_all_with_all(spark, monkeypatch):
+    """Texts far from their leader meet where they share a change of it."""
+    r = random.Random(6)
+    base = invented(r, 300)
+    held = [list(base)]
+    for _ in range(80):
+        held.append([w if r.random() > 0.06 else f"x{r.randrange(1 << 40)}" for w in base])
+    core = base[100:160]
+    core[::5] = invented(r, 12)
+    for i in (5, 9):  # two copies that share changes, too many for the base to hold their passage; one word differs
+        held[i] = invented(r, 100) + core + invented(r, 140)
+    held[9][130] = "other"
+    verified = []
+    plain = passages.saved
+
+    def counted(df, name, *rest):
+        out = plain(df, name, *rest)
+        if name.startswith("passage-judged"):
+            verified.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "saved", counted)
+    got = passages.repeated_passages(in_documents(spark, r, held)).collect()
+    assert sum(verified) < 81 * 80 / 4  # most of all pairs when every open member met all of its key
+    for i in (5, 9):
+        assert any(x["begin"] <= AROUND + 105 and x["end"] >= AROUND + 155 for x in got if x["doc_id"] == i)
